@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import heapq
 import re
@@ -226,6 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        gc.disable()
         for doc_ids, texts in text_chunks(batches):
             ids = [[i for piece in t for i in piece] for t in bpe(path, pattern).encode_texts(_strings(texts))]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -254,6 +256,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        gc.disable()  # millions of small tuples and no cycles: collections would only walk them
         for doc_ids, texts in text_chunks(batches):
             rows = []
             for pieces in bpe(path, pattern).encode_texts(_strings(texts), bpe(path, pattern).written):

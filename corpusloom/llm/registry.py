@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, histogram_shards, quality
+from corpusloom.llm import bpe, chat, histogram_shards, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_trees": quality.query,
         "op4_byte_bpe": bpe.query,
+        "op5_chat_templates": chat.query,
         "op7_histogram_shards": histogram_shards.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_templates": chat.ORACLE_SQL}
