@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, chat, histogram_shards, quality
+from corpusloom.llm import bpe, chat, histogram_shards, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": bpe.query,
         "op5_chat_templates": chat.query,
         "op7_histogram_shards": histogram_shards.query,
+        "op10_toxicity_automata": toxicity.query,
     }
 
 
