@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, chat, histogram_shards, quality, toxicity
+from corpusloom.llm import bpe, cap_filters, chat, histogram_shards, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_trees": quality.query,
+        "op2_cap_filters": cap_filters.query,
         "op4_byte_bpe": bpe.query,
         "op5_chat_templates": chat.query,
         "op7_histogram_shards": histogram_shards.query,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_templates": chat.ORACLE_SQL}
+    return {"op2_cap_filters": cap_filters.ORACLE_SQL, "op5_chat_templates": chat.ORACLE_SQL}
