@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, cap_filters, chat, histogram_shards, quality, toxicity
+from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_cap_filters": cap_filters.query,
         "op4_byte_bpe": bpe.query,
         "op5_chat_templates": chat.query,
+        "op6_decontaminate": decontaminate.query,
         "op7_histogram_shards": histogram_shards.query,
         "op10_toxicity_automata": toxicity.query,
     }
