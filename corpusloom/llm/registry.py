@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, quality, toxicity
+from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_trees": quality.query,
         "op2_cap_filters": cap_filters.query,
+        "op3_relative_lz": substring.query,
         "op4_byte_bpe": bpe.query,
         "op5_chat_templates": chat.query,
         "op6_decontaminate": decontaminate.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cap_filters": cap_filters.ORACLE_SQL, "op5_chat_templates": chat.ORACLE_SQL}
+    return {"op2_cap_filters": cap_filters.ORACLE_SQL, "op5_chat_templates": chat.ORACLE_SQL, "op3_relative_lz": substring.ORACLE_SQL}
