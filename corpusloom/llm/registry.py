@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, quality, substring, toxicity
+from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, jaccard, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_templates": chat.query,
         "op6_decontaminate": decontaminate.query,
         "op7_histogram_shards": histogram_shards.query,
+        "op8_grouped_prefix_join": jaccard.query,
         "op10_toxicity_automata": toxicity.query,
     }
 
