@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, jaccard, quality, substring, toxicity
+from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shards, jaccard, katz, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": decontaminate.query,
         "op7_histogram_shards": histogram_shards.query,
         "op8_grouped_prefix_join": jaccard.query,
+        "op9_katz_backoff": katz.query,
         "op10_toxicity_automata": toxicity.query,
     }
 
