@@ -178,22 +178,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go; the others keep their columns. Scores are made beside the rows, without a join."""
+    """Pipeline stage: documents that the classifier rejects go; the others keep their columns. Rows are scored where they are, without a join."""
     model = train(docs, table(spark, sf_dir, "labels"))
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator) -> Iterator:  # type: ignore[type-arg]
-        import pandas as pd
-
-        for batch in texts:
-            all_, out, at = [("" if t is None else t).encode() for t in batch], [], 0
-            while at < len(all_):
-                size, end = 0, at
-                while end < len(all_) and (end == at or size < 2_000_000):
-                    size, end = size + len(all_[end]), end + 1
-                out.append(model.score(statistics(all_[at:end])))
-                at = end
-            yield pd.Series(np.concatenate(out) if out else np.empty(0))
-
-    scored = scored.asNondeterministic()  # kept apart from the filter, so that it runs once a row
-    return docs.withColumn("_quality", scored(F.col("text"))).where(F.col("_quality") >= KEEP_AT).drop("_quality")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            scores = [model.score(statistics([t or b"" for t in texts])) for (texts,) in text_chunks([b], ())]
+            yield b.filter(pa.array(np.concatenate(scores) >= KEEP_AT)) if scores else b
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,10 @@ from corpusloom.llm import bpe, cap_filters, chat, decontaminate, histogram_shar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_trees": quality.query,
         "op2_cap_filters": cap_filters.query,
         "op3_relative_lz": substring.query,

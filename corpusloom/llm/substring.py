@@ -143,13 +143,20 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     spans = duplicate_spans(docs, window, seed).withColumnRenamed("doc_id", "_id")
     joined = _keyed(docs).join(spans.withColumnRenamed("_text_key", "_key"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
 
-    @F.pandas_udf("string")
-    def cut(text, spans):  # type: ignore[no-untyped-def]
-        import pandas as pd
+    names = docs.columns
+    at = names.index("text")
 
-        return pd.Series([t if s is None else b" ".join(kept_words(t.encode().split(), list(s))).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            spans, texts = b.column(len(names)).to_pylist(), b.column(at).cast(pa.binary()).to_pylist()
+            kept = [t if s is None else b" ".join(kept_words(t.split(), s)) for s, t in zip(spans, texts, strict=True)]
+            columns = b.columns[: len(names)]
+            columns[at] = pa.array(kept, pa.binary()).cast(pa.string()).cast(columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))).select(*docs.columns)
+    return joined.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
