@@ -6,7 +6,8 @@ the item) must fill the item's slots consistently: an item value stands for one
 nearly all are the item's own. An item leaks into a document
 where at least `COVERAGE` of its windows are found on consistent diagonals, verbatim or with other parameters.
 
-The benchmark's windows are broadcast while there are at most `BROADCAST_WINDOWS` of them (counted first) and shuffled otherwise. Windows of
+The benchmark's windows are broadcast, behind a Bloom filter, while there are at most `BROADCAST_WINDOWS` of them (counted first) and
+shuffled otherwise. Windows of
 fewer than `LITERALS` plain words say too little and are left out on the benchmark's side; items shorter than a window are one window.
 
 Edge cases: null and empty texts match nothing; null items and items without such windows are never found; repeated items are found together;
@@ -16,6 +17,7 @@ union of their matches); other columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ COVERAGE = 0.5
 #: A diagonal that fills this share of its slots with the item's own values counts, whatever the rest.
 VERBATIM = 0.75
 BROADCAST_WINDOWS = 1_000_000
+#: Of the filter that documents' windows pass before the join.
+MOST_BITS = 1 << 22
 UNITS = ("mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg lb lbs oz ton tons ml l litre litres liter liters gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents pound pounds degree degrees mph kmh").split()
 #: A placeholder is this mark and a letter for its type; the value follows it in the token.
 MARK = "\u0001"
@@ -45,19 +49,44 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(MARK), w.substr(1, 2)).otherwise(w))
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """array<struct<pos, hash>> of every `width` template words."""
-    n = F.size(hashes) - (width - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i, width)).alias("hash"))))
+def _windows(hashes: Column, widths: list[int]) -> Column:
+    """array<struct<width, pos, hash>> of every `width` template words, for each width."""
+
+    def of(width: int) -> Column:
+        n = F.size(hashes) - (width - 1)
+        every = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice(hashes, i, width)).alias("hash")))
+        return F.when(n > 0, every).otherwise(F.array().cast("array<struct<width:int,pos:int,hash:bigint>>"))
+
+    return of(widths[0]) if len(widths) == 1 else F.concat(*map(of, widths))
+
+
+def _once(x: Column) -> Column:
+    """The same column, computed once a row: filters that are inferred from explode() would be pushed below it and compute it again."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
 
 
 def _exploded(df: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
     """A row for each window of each row; `df` has `hashes`."""
-    parts = [df.select(*keys, F.explode(_windows(F.col("hashes"), w)).alias("w"), F.lit(w).alias("width")) for w in widths]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select(*keys, "width", "w.pos", "w.hash")
+    return df.select(*keys, F.explode(_windows(F.col("hashes"), widths)).alias("w")).select(*keys, "w.*")
+
+
+def _bit(h: Column, shift: int, bits: int) -> tuple[Column, Column]:
+    place = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(bits - 1).cast("long"))
+    return F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> Column:
+    """A Bloom filter over a column `hash`, as a constant array of longs."""
+    at = hashes.select(F.explode(F.array(*(F.struct(w.alias("w"), b.alias("b")) for w, b in (_bit(F.col("hash"), k, bits) for k in (0, 22))))).alias("x")).select("x.*").distinct()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for r in at.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).collect():  # bits / 64 rows at most
+        out[r.w] = r.m
+    return F.lit(out)
+
+
+def _maybe(bitmap: Column, h: Column, bits: int) -> Column:
+    ok = [F.getbit(F.get(bitmap, w.cast("int")), b) == 1 for w, b in (_bit(h, k, bits) for k in (0, 22))]
+    return ok[0] & ok[1]
 
 
 def _hashes() -> Column:
@@ -77,15 +106,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     own = written(own.where(plain >= F.least(F.lit(LITERALS), F.col("width"))).select("item", "width", F.col("pos").alias("item_pos"), "hash"), "benchmark-windows", 8)
     n_windows = own.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
 
-    mine = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.transform(template(tokens(F.col("text"))), lambda w: F.xxhash64(w)).alias("hashes"))
-    theirs = F.broadcast(own) if own.count() <= BROADCAST_WINDOWS else own
-    matches = written(_exploded(mine, ["doc_id"], [window, *short]).join(theirs, ["width", "hash"]).select("doc_id", "item", "width", "pos", "item_pos").distinct(), "leak-windows")
+    n_own = own.count()
+    mine = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _once(tokens(F.col("text"))).alias("tokens")).select("doc_id", "tokens", _once(_hashes()).alias("hashes"))
+    windows = _windows(F.col("hashes"), [window, *short])
+    found_in = F.slice("tokens", F.col("pos"), F.col("width")).alias("doc_tokens")
+    if n_own <= BROADCAST_WINDOWS:  # windows that the benchmark can't have are left out before they are rows, so that the tokens go along with those that stay
+        bits = min(max(1 << 16, 1 << (32 * n_own).bit_length()), MOST_BITS)
+        bitmap = _bitmap(own, bits)
+        near = mine.select("doc_id", "tokens", _once(F.filter(windows, lambda w: _maybe(bitmap, w["hash"], bits))).alias("near")).select("doc_id", "tokens", F.explode("near").alias("w")).select("doc_id", "tokens", "w.*")
+        matches = near.join(F.broadcast(own), ["width", "hash"]).select("doc_id", "item", "width", "pos", "item_pos", found_in)
+    else:
+        near = _exploded(mine.select("doc_id", "hashes"), ["doc_id"], [window, *short]).join(own, ["width", "hash"]).select("doc_id", "item", "width", "pos", "item_pos")
+        matches = near.join(mine.select("doc_id", "tokens"), "doc_id").select("doc_id", "item", "width", "pos", "item_pos", found_in)
+    matches = written(matches.distinct(), "leak-windows")
 
-    held = docs.join(matches.select("doc_id").distinct(), "doc_id").select("doc_id", tokens(F.col("text")).alias("doc_tokens"))
     item_tokens = items.select("item", F.col("tokens").alias("item_tokens"))
     item_slots = F.exists("item_tokens", lambda t: t.startswith(MARK))
-    with_slots = matches.join(item_tokens.where(item_slots), "item").join(held, "doc_id")
-    pairs = F.arrays_zip(F.slice("item_tokens", F.col("item_pos"), F.col("width")).alias("i"), F.slice("doc_tokens", F.col("pos"), F.col("width")).alias("d"))
+    with_slots = matches.join(item_tokens.where(item_slots), "item")
+    pairs = F.arrays_zip(F.slice("item_tokens", F.col("item_pos"), F.col("width")).alias("i"), F.col("doc_tokens").alias("d"))
     filled = with_slots.select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.explode(F.filter(pairs, lambda p: p["i"].startswith(MARK))).alias("p"))
     slots = filled.groupBy("doc_id", "item", "diagonal", "p.i").agg(F.min("p.d").alias("low"), F.max("p.d").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.d") == F.col("p.i")).alias("same"))
     slots = slots.groupBy("doc_id", "item", "diagonal").agg((F.bool_and(F.col("low") == F.col("high")) | (F.sum("same") >= F.sum("n") * VERBATIM)).alias("consistent"), F.bool_or(F.col("low") != F.col("i")).alias("changed"))
