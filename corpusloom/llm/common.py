@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are hashed at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +89,20 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
 
 def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes other than 0x20, 0x09-0x0D) of UTF-8 texts: 64-bit hashes, starts and ends in the texts joined by a newline, and
-    the first word's index of each text with the number of words as last entry."""
+    the first word's index of each text with the number of words as last entry. Texts are hashed in blocks, as the sums take 8 bytes a byte."""
+    blocks, size = [[0, 0]], 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > BLOCK_BYTES:
+            blocks.append([k, k])
+            size = 0
+        size += len(t)
+        blocks[-1][1] = k + 1
+    if len(blocks) > 1:
+        parts = [words_of(texts[lo:hi], lower) for lo, hi in blocks]
+        chars = np.cumsum([0] + [sum(map(len, texts[lo:hi])) + hi - lo for lo, hi in blocks])
+        words = np.cumsum([0] + [len(p[0]) for p in parts])
+        first = [p[3][:-1] + w for p, w in zip(parts, words, strict=False)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + c for p, c in zip(parts, chars, strict=False)]), np.concatenate([p[2] + c for p, c in zip(parts, chars, strict=False)]), np.append(np.concatenate(first), words[-1])
     joined = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
     if lower:
         joined = _LOWER[joined]

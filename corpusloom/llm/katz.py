@@ -37,7 +37,9 @@ HEAVY_SHARE, HEAVY = 0.002, 1_000
 MODULUS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 CHUNK = 8_000_000
-_SUMS = ["seen", *(f"r{r}" for r in range(1, DISCOUNTED + 1)), "unseen", "known", "base", "context"]
+#: Contexts travel as 48 bits of their hash, sorted and as differences; words keep 64.
+DROPPED = np.uint64(16)
+_SUMS = ["seen", *(f"r{r}" for r in range(1, DISCOUNTED + 1)), "unseen", "known", "base"]
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +90,15 @@ def heavy_words(rows: DataFrame) -> dict[int, int]:
     return {r.w % 2**64: r.n for r in rows.where("train").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()} | {}
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit values by their weight: high bytes of small values compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def unplanes(b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(b.reshape(8, -1).T).ravel().view("<u8").astype(np.uint64)
+
+
 def _pack_bigrams(batches: Iterator, heavy: np.ndarray, cells: int) -> Iterator:
     """For each cell: distinct bigrams (h, w) with the documents that hold them and how often."""
     import pyarrow as pa
@@ -102,19 +113,19 @@ def _pack_bigrams(batches: Iterator, heavy: np.ndarray, cells: int) -> Iterator:
         pair, doc, h, w = pair[post], doc[post], h[post], w[post]
         gram = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         size = np.diff(np.append(gram, len(pair)))
-        gh, gw = h[gram], w[gram]
+        gh, gw = h[gram] >> DROPPED, w[gram]
         at = np.minimum(np.searchsorted(heavy, gw), max(len(heavy) - 1, 0))
         is_heavy = heavy[at] == gw if len(heavy) else np.zeros(len(gw), dtype=bool)
         cell = (np.where(is_heavy, pair[gram], mix(gw)) % np.uint64(cells)).astype(np.int64)
         ids_ = np.array(ids, dtype=np.int64)
         out = []
         for c, g in by_cell(cell, cells):
-            g = g[np.lexsort((gh[g], gw[g]))]  # second words repeat, and are sent once with the number of their bigrams
-            words, n = np.unique(gw[g], return_counts=True)
+            g = g[np.argsort(gh[g], kind="stable")]
+            words, at = np.unique(gw[g], return_inverse=True)
             run, place = spread(size[g])
             rows = gram[g][run] + place
             docs, which = np.unique(doc[rows], return_inverse=True)
-            out.append((c, pack(words, n.astype(np.int32), gh[g], size[g].astype(np.int32), which.astype(np.uint16 if len(docs) < 65536 else np.uint32), times[rows], ids_[docs], train[docs].astype(np.uint8))))
+            out.append((c, pack(words, at.astype(np.uint16 if len(words) < 65536 else np.uint32), planes(np.diff(gh[g], prepend=np.uint64(0))), size[g].astype(np.int32), which.astype(np.uint16 if len(docs) < 65536 else np.uint32), times[rows], ids_[docs], train[docs].astype(np.uint8))))
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["cell", "payload"])
 
 
@@ -122,8 +133,8 @@ def _score_cell(payloads: list[list[np.ndarray]], heavy: np.ndarray, heavy_n: np
     """Rows of three kinds: 0 a document's sums, 1 packed statistics and requests for a context cell, 2 the cell's totals."""
     import pyarrow as pa
 
-    w = np.concatenate([np.repeat(p[0], p[1]) for p in payloads])
-    h = np.concatenate([p[2] for p in payloads])
+    w = np.concatenate([p[0][p[1]] for p in payloads])
+    h = np.concatenate([np.cumsum(unplanes(p[2])) for p in payloads])
     size = np.concatenate([p[3] for p in payloads]).astype(np.int64)
     docs = np.concatenate([p[6] for p in payloads])
     shift = offsets(np.array([len(p[6]) for p in payloads]))
@@ -152,7 +163,7 @@ def _score_cell(payloads: list[list[np.ndarray]], heavy: np.ndarray, heavy_n: np
     add(DISCOUNTED + 1, t * (c == 0))
     add(DISCOUNTED + 2, t * (cw > 0))
     add(DISCOUNTED + 3, t * np.log10(cw + 1))
-    add(DISCOUNTED + 4, t * np.log10(np.maximum(cw, 1)))
+    add(0, -t * np.log10(np.maximum(cw, 1)))  # the contexts' counts
     add(0, np.where(c == 0, t * np.log10(cw + 1), 0.0))  # the unigram's part of an unseen bigram
     ids, which_doc = np.unique(docs, return_inverse=True)
     sums = np.column_stack([np.bincount(which_doc, sums[:, k], minlength=len(ids)) for k in range(sums.shape[1])])
@@ -218,7 +229,7 @@ def in_training(doc_id: Column) -> Column:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document with a doc_id; learns from those of the training fold."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), in_training(F.col("doc_id")).alias("train"), F.col("text").cast("string").alias("text"))
-    cells = 4 * shuffle_cells(docs.sparkSession)
+    cells = 2 * shuffle_cells(docs.sparkSession)
     heavy_counts = heavy_words(rows)
     heavy = np.array(sorted(heavy_counts), dtype=np.uint64)
     heavy_n = np.array([heavy_counts[int(k)] for k in heavy], dtype=np.int64)
@@ -239,7 +250,7 @@ def scores(docs: DataFrame) -> DataFrame:
         F.round("known").cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") - tokens * mass).alias("base_score"),
-        (F.col("seen") + log_d - F.col("context") - F.col("unseen") * mass + F.coalesce("backoff", F.lit(0.0))).alias("score"),
+        (F.col("seen") + log_d - F.col("unseen") * mass + F.coalesce("backoff", F.lit(0.0))).alias("score"),
     )
 
 
