@@ -3,8 +3,8 @@
 A document is its set of 64-bit hashes of word shingles. Two sets with a Jaccard similarity of t share one of their first
 n - ceil(t * n) + 1 elements in any order that holds for all sets; the order here is by hash, with elements that many documents have at the
 end. Documents with equal sets are one class; classes of equal size and prefix are one group, and groups that share a prefix element are
-candidates where sizes and places in the prefixes allow the similarity (exactly: a pair passes at its first common element). Group pairs are
-expanded to members and verified on the whole sets.
+candidates where sizes and places in the prefixes allow the similarity (exactly: a pair passes at its first common element) and the prefixes
+themselves don't differ in too many elements. Group pairs are expanded to members and verified on the whole sets.
 
 Only what connects matters for component_id, so dense neighbourhoods aren't verified pair by pair: of an element that more than `SMALL` groups
 share, and of a large group, members are first verified against a few leaders; after the components of these links are known, all candidate
@@ -20,7 +20,7 @@ one doc_id are one node; rows without doc_id are their own component (null); an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +49,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def in_order(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A sorted set in the order of prefixes: frequent elements at the end."""
+def in_order(elements: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """A sorted set in the order of prefixes, frequent elements at the end, and the number of the others."""
     at = np.minimum(np.searchsorted(frequent, elements), max(len(frequent) - 1, 0))
     often = frequent[at] == elements if len(frequent) else np.zeros(len(elements), dtype=bool)
-    return np.concatenate([elements[~often], elements[often]])
+    return np.concatenate([elements[~often], elements[often]]), int((~often).sum())
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), group (digest of size and prefix), prefix."""
+    """doc_id, n (set size), digest (of the set), group (digest of size and prefix), prefix (bytes: n, the number of elements that aren't frequent, elements)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator) -> Iterator:
@@ -84,13 +84,13 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int)
         for ids, texts in text_chunks(batches):
             rows = []
             for s in shingle_sets([t or b"" for t in texts], width):
-                prefix = in_order(s, shared.value)[: prefix_size(len(s), percent)] if len(s) else s
-                size = len(s).to_bytes(8, "little")
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(size + prefix.tobytes(), digest_size=16).digest(), _signed(prefix).tolist()))
+                ordered, rare = in_order(s, shared.value)
+                prefix = np.array([len(s), rare], dtype=np.uint64).tobytes() + ordered[: prefix_size(len(s), percent) if len(s) else 0].tobytes()
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix, digest_size=16).digest(), prefix))
             n, digest, group, prefix = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "group", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "group", "prefix"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, group binary, prefix array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, group binary, prefix binary")
 
 
 def _passes(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -163,8 +163,26 @@ def _candidates(postings: DataFrame, percent: int, labelled: bool) -> DataFrame:
     return postings.select(*columns).repartition("element").sortWithinPartitions("element").mapInArrow(run, "kind int, a long, b long, n long, pos long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. The set of a goes once to each `CHUNK` of its pairs, that of b with the pair."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def possible(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets may be similar, by their prefixes: up to where both are known, elements of one side alone are counted."""
+    known = []
+    for x in (a, b):
+        rare = x[2 : 2 + int(x[1])]
+        known.append((rare, rare[-1] if len(rare) == len(x) - 2 and len(rare) < int(x[0]) else np.uint64(2**64 - 1)))
+    bound = min(known[0][1], known[1][1])
+    p, q = (r[: np.searchsorted(r, bound, side="right")] for r, _ in known)
+    apart = len(p) + len(q) - 2 * int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(p) and len(q) else len(p) + len(q)
+    return apart * (100 + percent) <= (int(a[0]) + int(b[0])) * (100 - percent)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, test: Callable[[np.ndarray, np.ndarray, int], bool] = similar) -> DataFrame:
+    """The pairs (a, b) that pass a test on their elements. Those of a go once to each `CHUNK` of its pairs, those of b with the pair."""
     counts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
     right = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "elements")
     left = counts.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "elements")
@@ -180,8 +198,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if b is None:
                     key, own = (a, part), mine
                 elif key == (a, part) and own is not None:
-                    common = int((own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine).sum())
-                    if 100 * common >= percent * (len(own) + len(mine) - common):
+                    if test(own, mine, percent):
                         out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
@@ -198,7 +215,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for ids, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets([t or b"" for t in texts], width)], pa.binary())], ["doc_id", "elements"])
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, elements binary").dropDuplicates(["doc_id"])
+    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, elements binary")
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """group_id, n, pos, element for each element of each prefix."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [np.frombuffer(x, dtype=np.int64)[2:] for x in part.column(2).to_pylist()]
+                n = [len(x) for x in found]
+                pos = np.concatenate([np.arange(k, dtype=np.int64) for k in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n)), pa.array(pos), pa.array(np.concatenate(found))], ["group_id", "n", "pos", "element"])
+
+    return prefixes.select("group_id", "n", "prefix").mapInArrow(run, "group_id long, n long, pos long, element long")
 
 
 def _expanded(pairs: DataFrame, members: DataFrame, keep: Column) -> DataFrame:
@@ -219,31 +253,28 @@ def similar_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     members = written(classes.join(groups, "group").select("rep", "n", "group_id", "members"), "shingle-groups")
     # sets of fewer than 9 elements have no similar ones but equal ones at 0.9, and so on
     least = -(-percent // (100 - percent)) if percent < 100 else 2**62
-    prefixes = signed.join(members.where(F.col("rep") == F.col("group_id")).select(F.col("rep").alias("doc_id"), "group_id"), "doc_id").where(F.col("n") >= least)
-    postings = prefixes.dropDuplicates(["group_id"]).select("group_id", "n", F.posexplode("prefix").alias("pos", "element"))
-    first = written(_candidates(postings.withColumn("pos", F.col("pos").cast("long")), percent, False), "shingle-candidates")
+    prefixes = signed.select("doc_id", "n", "prefix").join(members.where(F.col("rep") == F.col("group_id")).select(F.col("rep").alias("doc_id"), "group_id"), "doc_id").where(F.col("n") >= least).dropDuplicates(["group_id"])
+    first = written(_candidates(_postings(prefixes), percent, False), "shingle-candidates")
     pairs = first.where("kind = 0").select("a", "b").distinct()
     large = F.lit(8)
     lead = (F.col("x_rep") == F.col("x_group_id")) & (F.col("y_rep") == F.col("y_group_id"))
     inside = members.where("members > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b")).distinct()
+    heads = prefixes.select("doc_id", F.col("prefix").alias("elements"))
+    pairs = written(_verified(pairs, heads, percent, possible).distinct(), "shingle-pairs")
     one = _expanded(pairs.unionByName(inside), members.drop("n"), ((F.col("x_members") <= large) & (F.col("y_members") <= large)) | lead | ((F.col("a") == F.col("b")) & (F.col("x_rep") == F.col("x_group_id"))))
     one = written(one, "shingle-pairs")
-    busy = first.where("kind = 1").select(F.col("a").alias("group_id")).union(inside.select("a"))
-    wanted = one.select(F.col("a").alias("doc_id")).union(one.select("b")).union(members.join(busy.distinct(), "group_id", "left_semi").select("rep")).union(
-        members.join(pairs.select(F.col("a").alias("group_id")).union(pairs.select("b")).distinct(), "group_id", "left_semi").select("rep")
-    )
-    sets = written(_sets(docs, wanted.distinct(), width), "shingle-sets")
-    links = written(_verified(one, sets, percent), "shingle-links")
+    sets = lambda of: written(_sets(docs, of.select(F.col("a").alias("doc_id")).union(of.select("b")).distinct(), width), "shingle-sets")
+    links = written(_verified(one, sets(one), percent), "shingle-links")
     parts = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     # what is left: candidates between components
     labelled = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     whole = labelled.groupBy("group_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).select("group_id", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1) - F.col("group_id")).alias("label"))
     again = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").join(whole, "group_id")
-    open_ = _candidates(again, percent, True).select("a", "b").union(pairs).union(inside).distinct()
+    open_ = _verified(_candidates(again, percent, True).select("a", "b").distinct(), heads, percent, possible).union(pairs).union(inside).distinct()
     two = _expanded(open_, labelled.select("group_id", "rep", "component"), F.col("x_component") != F.col("y_component")).join(one, ["a", "b"], "left_anti")
     two = written(two, "shingle-pairs")
     if two.limit(1).count():
-        links = links.unionByName(written(_verified(two, sets, percent), "shingle-links"))
+        links = links.unionByName(written(_verified(two, sets(two), percent), "shingle-links"))
         parts = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     # a class's least doc_id stands for it; rows without a set stand alone
     ids = same.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
