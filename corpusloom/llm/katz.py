@@ -129,6 +129,31 @@ def _pack_bigrams(batches: Iterator, heavy: np.ndarray, cells: int) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["cell", "payload"])
 
 
+#: Sums for documents travel as whole multiples of this: errors stay under 1e-7 a cell and document.
+UNIT = 2.0**-24
+
+
+def _to_documents(ids: np.ndarray, sums: np.ndarray, cells: int) -> list[tuple[int, bytes]]:
+    """(cell, payload) of sums by document (sorted ids), dealt by document."""
+    whole = np.rint(sums / UNIT).astype(np.int64)
+    signed = (whole << 1) ^ (whole >> 63)
+    return [(c, pack(planes(np.diff(ids[at].view(np.uint64), prepend=np.uint64(0))), *(planes(signed[at, k]) for k in range(sums.shape[1])))) for c, at in by_cell((mix(ids.view(np.uint64)) % np.uint64(cells)).astype(np.int64), cells)]
+
+
+def _sum_documents(payloads: list[list[np.ndarray]], names: list[str]) -> Iterator:
+    import pyarrow as pa
+
+    ids, which = np.unique(np.concatenate([np.cumsum(unplanes(p[0])).view(np.int64) for p in payloads]), return_inverse=True)
+    sums = []
+    for k in range(len(names)):
+        signed = np.concatenate([unplanes(p[1 + k]) for p in payloads])
+        whole = (signed >> np.uint64(1)).astype(np.int64) ^ -(signed & np.uint64(1)).astype(np.int64)
+        out = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(out, which, whole)
+        sums.append(pa.array(out * UNIT))
+    yield pa.RecordBatch.from_arrays([pa.array(ids), *sums], ["doc_id", *names])
+
+
 def _score_cell(payloads: list[list[np.ndarray]], heavy: np.ndarray, heavy_n: np.ndarray, cells: int) -> Iterator:
     """Rows of three kinds: 0 a document's sums, 1 packed statistics and requests for a context cell, 2 the cell's totals."""
     import pyarrow as pa
@@ -168,8 +193,9 @@ def _score_cell(payloads: list[list[np.ndarray]], heavy: np.ndarray, heavy_n: np
     ids, which_doc = np.unique(docs, return_inverse=True)
     sums = np.column_stack([np.bincount(which_doc, sums[:, k], minlength=len(ids)) for k in range(sums.shape[1])])
     none = lambda kind, n: pa.nulls(n, kind)
-    names = ["kind", "cell", "payload", "doc_id", "sums"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), none(pa.int32(), len(ids)), none(pa.binary(), len(ids)), pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))], names)
+    names = ["kind", "cell", "payload", "totals"]
+    sent = _to_documents(ids, sums, cells)
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sent), np.int32)), pa.array([k for k, _ in sent], pa.int32()), pa.array([p for _, p in sent], pa.binary()), none(pa.list_(pa.float64()), len(sent))], names)
     # for the contexts: sums over the words seen after them, and who asks for their alpha
     seen = count > 0
     ch, hw = np.unique(bh[seen], return_inverse=True)
@@ -185,9 +211,9 @@ def _score_cell(payloads: list[list[np.ndarray]], heavy: np.ndarray, heavy_n: np
         s, a = told.get(k, empty), asked.get(k, empty)
         a = a[np.lexsort((ad[a], ah[a]))]
         out.append((k, pack(ch[s], *(x[s] for x in stats[:2]), *(x[s].astype(np.int32) for x in stats[2:]), ah[a], ad[a], at_[a].astype(np.int32))))
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), np.int32)), pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary()), none(pa.int64(), len(out)), none(pa.list_(pa.float64()), len(out))], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), np.int32)), pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary()), none(pa.list_(pa.float64()), len(out))], names)
     totals = [float((count == r).sum()) for r in range(1, DISCOUNTED + 2)] + [float(count.sum()), float((~is_heavy & (word_n > 0)).sum())]
-    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), none(pa.int32(), 1), none(pa.binary(), 1), none(pa.int64(), 1), pa.array([totals], pa.list_(pa.float64()))], names)
+    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), none(pa.int32(), 1), none(pa.binary(), 1), pa.array([totals], pa.list_(pa.float64()))], names)
 
 
 def discounts(n: list[float]) -> list[float]:
@@ -201,7 +227,7 @@ def discounts(n: list[float]) -> list[float]:
     return out
 
 
-def _alpha_cell(payloads: list[list[np.ndarray]], d: list[float], n: float, v: float) -> Iterator:
+def _alpha_cell(payloads: list[list[np.ndarray]], d: list[float], n: float, v: float, cells: int) -> Iterator:
     """What the unseen bigrams of documents lack: log10 alpha(h) + log10 c(h), where h is known."""
     import pyarrow as pa
 
@@ -219,7 +245,8 @@ def _alpha_cell(payloads: list[list[np.ndarray]], d: list[float], n: float, v: f
     known = h[at] == ah if len(h) else np.zeros(len(ah), dtype=bool)
     value = np.where(known, times * (np.log10(np.maximum(alpha[at], 1e-300)) + np.log10(total[at])), 0.0) if len(h) else np.zeros(len(ah))
     ids, which = np.unique(ad, return_inverse=True)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(which, value, minlength=len(ids)))], ["doc_id", "backoff"])
+    sent = _to_documents(ids, np.bincount(which, value, minlength=len(ids))[:, None], cells)
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sent], pa.int32()), pa.array([p for _, p in sent], pa.binary())], ["cell", "payload"])
 
 
 def in_training(doc_id: Column) -> Column:
@@ -229,17 +256,18 @@ def in_training(doc_id: Column) -> Column:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document with a doc_id; learns from those of the training fold."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), in_training(F.col("doc_id")).alias("train"), F.col("text").cast("string").alias("text"))
-    cells = 2 * shuffle_cells(docs.sparkSession)
+    cells = shuffle_cells(docs.sparkSession)
     heavy_counts = heavy_words(rows)
     heavy = np.array(sorted(heavy_counts), dtype=np.uint64)
     heavy_n = np.array([heavy_counts[int(k)] for k in heavy], dtype=np.int64)
     packed = rows.mapInArrow(lambda b: _pack_bigrams(b, heavy, cells), SCHEMA)
-    told = written(gathered(packed, cells, lambda p: _score_cell(p, heavy, heavy_n, cells), "kind int, cell int, payload binary, doc_id long, sums array<double>"), "katz-cells")
-    totals = told.where("kind = 2").select(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0.0)).alias(f"t{k}") for k in range(DISCOUNTED + 3))).first()
+    told = written(gathered(packed, cells, lambda p: _score_cell(p, heavy, heavy_n, cells), "kind int, cell int, payload binary, totals array<double>"), "katz-cells")
+    totals = told.where("kind = 2").select(*(F.coalesce(F.sum(F.col("totals")[k]), F.lit(0.0)).alias(f"t{k}") for k in range(DISCOUNTED + 3))).first()
     d = discounts(list(totals[: DISCOUNTED + 1]))
     n, v = totals[DISCOUNTED + 1], totals[DISCOUNTED + 2] + float((heavy_n > 0).sum())
-    sums = told.where("kind = 0").groupBy("doc_id").agg(*(F.sum(F.col("sums")[k]).alias(name) for k, name in enumerate(_SUMS)))
-    backoff = gathered(told.where("kind = 1").select("cell", "payload"), cells, lambda p: _alpha_cell(p, d, n, v), "doc_id long, backoff double").groupBy("doc_id").agg(F.sum("backoff").alias("backoff"))
+    by_document = lambda sent, names: gathered(sent, cells, lambda p: _sum_documents(p, names), "doc_id long, " + ", ".join(f"{x} double" for x in names))
+    sums = by_document(told.where("kind = 0").select("cell", "payload"), _SUMS)
+    backoff = by_document(gathered(told.where("kind = 1").select("cell", "payload"), cells, lambda p: _alpha_cell(p, d, n, v, cells), SCHEMA), ["backoff"])
     log_d = sum((F.col(f"r{r}") * F.lit(math.log10(d[r - 1])) for r in range(1, DISCOUNTED + 1)), F.lit(0.0))
     tokens = F.col("n_tokens")
     lengths = rows.select("doc_id", _count_tokens(F.col("text")).alias("n_tokens"))
