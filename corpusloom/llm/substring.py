@@ -115,8 +115,8 @@ def _factors(payloads: list[list[np.ndarray]], window: int) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(keys[m]), pa.array((at[m] + place[a]).astype(np.int32)), pa.array((at[m] + place[b] + window).astype(np.int32))], ["doc_id", "_text_key", "start", "end"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text_key", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+def _keyed(docs: DataFrame, name: str = "_text_key") -> DataFrame:
+    return docs.withColumn(name, F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -140,9 +140,8 @@ def kept_words(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """`docs` with duplicate words removed from the texts that have any (their words are then joined by one space); other texts stay as they are."""
-    spans = duplicate_spans(docs, window, seed).withColumnRenamed("doc_id", "_id")
-    joined = _keyed(docs).join(spans.withColumnRenamed("_text_key", "_key"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-
+    spans = duplicate_spans(docs, window, seed).select(F.col("doc_id").alias("_rlz_id"), F.col("_text_key").alias("_rlz_key"), F.col("spans").alias("_rlz_spans"))
+    joined = _keyed(docs, "_rlz_own").join(spans, (F.col("doc_id").cast("long") == F.col("_rlz_id")) & (F.col("_rlz_own") == F.col("_rlz_key")), "left")
     names = docs.columns
     at = names.index("text")
 
@@ -156,7 +155,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
             columns[at] = pa.array(kept, pa.binary()).cast(pa.string()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, "_rlz_spans").mapInArrow(cut, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
