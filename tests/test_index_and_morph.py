@@ -61,11 +61,16 @@ def test_analysis_and_features(spark):
     assert {(x.number, x.honorificity) for x in f[1].f} == {("SG", "POLITE"), ("PL", "FAMILIAR")}
 
 
+def cut(spark, df):
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
 def judged(spark, raws, gold, number=None, licit=("FAMILIAR", "POLITE"), wanted=None):
-    readings = F.flatten(F.transform(F.array(*(F.struct(F.lit(k).alias("at"), G.parsed(F.lit(r)).alias("a")) for k, r in enumerate(raws))), lambda t: F.transform(G.features(t["a"]), lambda f: f.withField("at", t["at"]))))
-    wanted = F.array(*(F.lit(x) for x in (wanted or [gold])))
-    j = G.judged(readings, "honorificity", F.lit(gold).cast("string"), wanted.cast("array<string>"), list(licit), [], [2], True, F.lit(number).cast("string"), F.lit(None).cast("string"), F.lit(1.0))
-    return spark.range(1).select(j.alias("j")).first().j
+    a = cut(spark, spark.createDataFrame(list(enumerate(raws)), "at int, raw string").select("at", G.parsed(F.col("raw")).alias("a")))
+    f = cut(spark, a.select("at", F.explode(G.features(F.col("a"))).alias("f")))
+    rows = cut(spark, f.agg(F.collect_list(F.col("f").withField("at", F.col("at"))).alias("readings")).withColumns({"gold": F.lit(gold).cast("string"), "wanted": F.array(*map(F.lit, wanted or [gold])).cast("array<string>"), "number": F.lit(number).cast("string")}))
+    j = G.judged(F.col("readings"), "honorificity", F.col("gold"), F.col("wanted"), list(licit), [], [2], True, F.col("number"), F.lit(None).cast("string"), F.lit(1.0))
+    return rows.select(j.alias("j")).first().j
 
 
 def test_judgement_by_context(spark):
