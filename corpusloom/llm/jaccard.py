@@ -7,8 +7,9 @@ candidates where sizes and places in the prefixes allow the similarity (exactly:
 themselves don't differ in too many elements. Group pairs are expanded to members and verified on the whole sets.
 
 Only what connects matters for component_id, so dense neighbourhoods aren't verified pair by pair: of an element that more than `SMALL` groups
-share, and of a large group, members are first verified against a few leaders; after the components of these links are known, all candidate
-pairs that lie in different components are verified. No link between components is lost, and pairs inside one are never listed.
+share, and of a large group, members are first verified against a few leaders; rounds follow against other leaders, drawn at random and then those with
+the most links, and at last all candidate pairs that still lie in different components are verified. No link between components is lost, and
+pairs inside one are never listed.
 
 Which elements count as frequent changes the order alone, never the result: a first pass counts shingles in each chunk of input and keeps
 the `FREQUENT` most frequent ones, a bounded table that is broadcast.
@@ -36,6 +37,8 @@ FREQUENT = 200_000
 #: A frequent shingle is counted in chunks where at least so many documents have it, and is one from so many documents on.
 IN_CHUNK, FREQUENT_FROM = 3, 40
 SMALL, LEADERS, CHUNK = 32, 2, 128
+#: Leaders of the rounds after the first, and pairs of an element that are made at a time.
+MORE_LEADERS, BLOCK = 8, 1 << 20
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -99,35 +102,42 @@ def _passes(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, percen
     return (100 + percent) * most >= percent * (n[a] + n[b])
 
 
-def _element_pairs(n: np.ndarray, pos: np.ndarray, who: np.ndarray, label: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the groups of one element. With labels: all pairs that are not known to be in one component; without: all pairs of a
-    few groups, pairs with leaders of many."""
+def _leaders(n: np.ndarray, who: np.ndarray, score: np.ndarray, leaders: int, percent: int) -> np.ndarray:
+    """The groups of the highest scores in each stretch of sizes that are within the similarity."""
+    stretch = (np.log(n) / -np.log(min(percent, 99) / 100)).astype(np.int64)
+    order = np.lexsort((who, -score, stretch))
+    head = np.flatnonzero(np.r_[True, stretch[order][1:] != stretch[order][:-1]])
+    return np.unique(np.concatenate([order[np.minimum(head + k, np.r_[head[1:], len(n)] - 1)] for k in range(leaders)]))
+
+
+def _element_pairs(n: np.ndarray, pos: np.ndarray, who: np.ndarray, known: list[np.ndarray] | None, leaders: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs among the groups of one element, in blocks. Without `known`: all pairs of a few groups, pairs with leaders of many.
+    With it (label, whether members differ in it, score): pairs that are not known to be in one component, of `leaders` leaders or (0) all."""
     m = len(n)
-    if label is None and m > SMALL:
-        # leaders of each stretch of sizes that are within the similarity
-        order = np.lexsort((who, n))
-        stretch = (np.log(n[order]) / -np.log(percent / 100)).astype(np.int64)
-        head = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
-        lead = np.unique(np.concatenate([order[np.minimum(head + k, np.r_[head[1:], m] - 1)] for k in range(LEADERS)]))
-        a, b = np.repeat(lead, m), np.tile(np.arange(m), len(lead))
-        keep = a != b
-    elif label is None:
-        a, b = np.triu_indices(m, 1)
-        keep = np.ones(len(a), dtype=bool)
+    if known is None:
+        rows = np.arange(m) if m <= SMALL else _leaders(n, who, -who, LEADERS, percent)
+        settled = lambda a, b: b <= a if m <= SMALL else a == b
     else:
-        # everything outside the largest component against all that is not of its own component
-        known = label[label >= 0]
-        largest = np.bincount(np.unique(known, return_inverse=True)[1]).argmax() if len(known) else 0
-        most = np.unique(known)[largest] if len(known) else -2
-        out = np.flatnonzero(label != most)
-        a, b = np.repeat(out, m), np.tile(np.arange(m), len(out))
-        keep = (a != b) & ((label[a] < 0) | (label[a] != label[b])) & ((label[b] == most) | (a < b))
-    a, b = a[keep], b[keep]
-    ok = _passes(n, pos, a, b, percent)
-    return a[ok], b[ok]
-
-
-def _candidates(postings: DataFrame, percent: int, labelled: bool) -> DataFrame:
+        label, mixed, score = known
+        apart = lambda a, b: (a != b) & ((label[a] != label[b]) | (mixed[a] > 0) | (mixed[b] > 0))
+        if leaders:
+            rows = _leaders(n, who, score, leaders, percent)
+            settled = lambda a, b: ~apart(a, b)
+        else:  # everything outside the largest component against all that is not of its own component
+            names, sizes = np.unique(label[mixed == 0], return_counts=True)
+            inside = (mixed == 0) & (label == names[sizes.argmax()]) if len(names) else np.zeros(m, dtype=bool)
+            rows = np.flatnonzero(~inside)
+            settled = lambda a, b: ~(apart(a, b) & (inside[b] | (a < b)))
+    step = max(1, BLOCK // m)
+    for k in range(0, len(rows), step):
+        some = rows[k : k + step]
+        a, b = np.repeat(some, m), np.tile(np.arange(m), len(some))
+        ok = ~settled(a, b) & _passes(n, pos, a, b, percent)
+        if ok.any():
+            yield a[ok], b[ok]
+
+
+def _candidates(postings: DataFrame, percent: int, labelled: bool, leaders: int = 0) -> DataFrame:
     """kind 0: a group pair (a, b). kind 1 (not labelled): a posting of an element that many groups share, as (a, n, pos, element)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -138,9 +148,8 @@ def _candidates(postings: DataFrame, percent: int, labelled: bool) -> DataFrame:
             at = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
             ends = np.r_[at[1:], len(element)]
             for lo, hi in zip(at[ends - at > 1].tolist(), ends[ends - at > 1].tolist(), strict=True):
-                label = rows[4][lo:hi] if labelled else None
-                a, b = _element_pairs(n[lo:hi], pos[lo:hi], who[lo:hi], label, percent)
-                if len(a):
+                known = [x[lo:hi] for x in rows[4:]] if labelled else None
+                for a, b in _element_pairs(n[lo:hi], pos[lo:hi], who[lo:hi], known, leaders, percent):
                     x, y = who[lo:hi][a], who[lo:hi][b]
                     yield np.zeros(len(a), np.int32), np.minimum(x, y), np.maximum(x, y), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
                 if not labelled and hi - lo > SMALL:
@@ -148,7 +157,7 @@ def _candidates(postings: DataFrame, percent: int, labelled: bool) -> DataFrame:
 
         held: list[np.ndarray] | None = None
         for b in batches:
-            rows = [b.column(i).to_numpy() for i in range(5 if labelled else 4)]
+            rows = [b.column(i).to_numpy() for i in range(b.num_columns)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if len(rows[0]) else 0  # the last element may go on
@@ -159,7 +168,7 @@ def _candidates(postings: DataFrame, percent: int, labelled: bool) -> DataFrame:
             for out in pairs(held):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kind", "a", "b", "n", "pos"])
 
-    columns = ["element", "group_id", "n", "pos", *(["label"] if labelled else [])]
+    columns = ["element", "group_id", "n", "pos", *(["label", "mixed", "score"] if labelled else [])]
     return postings.select(*columns).repartition("element").sortWithinPartitions("element").mapInArrow(run, "kind int, a long, b long, n long, pos long")
 
 
@@ -265,17 +274,27 @@ def similar_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     one = written(one, "shingle-pairs")
     sets = lambda of: written(_sets(docs, of.select(F.col("a").alias("doc_id")).union(of.select("b")).distinct(), width), "shingle-sets")
     links = written(_verified(one, sets(one), percent), "shingle-links")
-    parts = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    # what is left: candidates between components
-    labelled = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    whole = labelled.groupBy("group_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).select("group_id", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1) - F.col("group_id")).alias("label"))
-    again = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").join(whole, "group_id")
-    open_ = _verified(_candidates(again, percent, True).select("a", "b").distinct(), heads, percent, possible).union(pairs).union(inside).distinct()
-    two = _expanded(open_, labelled.select("group_id", "rep", "component"), F.col("x_component") != F.col("y_component")).join(one, ["a", "b"], "left_anti")
-    two = written(two, "shingle-pairs")
-    if two.limit(1).count():
-        links = links.unionByName(written(_verified(two, sets(two), percent), "shingle-links"))
-        parts = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    parts, tried = written(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "shingle-parts"), one
+    # dense neighbourhoods again, between components alone: leaders at random, then those with the most links, then all that is left
+    for by_links, leaders in ((False, MORE_LEADERS), (True, MORE_LEADERS), (True, 0)):
+        labelled = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        if by_links:
+            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+            scored = labelled.join(degree, "rep", "left").withColumn("score", F.coalesce("count", F.lit(0)))
+        else:
+            scored = labelled.withColumn("score", F.xxhash64("rep").bitwiseAND(F.lit(2**62 - 1)))
+        whole = scored.groupBy("group_id").agg(F.min("component").alias("label"), (F.min("component") != F.max("component")).cast("int").alias("mixed"), F.max("score").alias("score"))
+        again = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").join(whole, "group_id")
+        open_ = _verified(_candidates(again, percent, True, leaders).select("a", "b").distinct(), heads, percent, possible)
+        open_ = open_ if leaders else open_.union(pairs).union(inside).distinct()
+        keep = F.col("x_component") != F.col("y_component")
+        two = _expanded(open_, labelled.select("group_id", "rep", "component"), lead & keep if leaders else keep)
+        two = written(two.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
+        more = written(_verified(two, sets(two), percent), "shingle-links")
+        tried = tried.unionByName(two)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            parts = written(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "shingle-parts")
     # a class's least doc_id stands for it; rows without a set stand alone
     ids = same.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
