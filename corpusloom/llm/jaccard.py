@@ -39,6 +39,7 @@ IN_CHUNK, FREQUENT_FROM = 3, 40
 SMALL, LEADERS, CHUNK = 32, 2, 128
 #: Leaders of the rounds after the first, and pairs of an element that are made at a time.
 MORE_LEADERS, BLOCK = 8, 1 << 20
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -215,8 +216,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, test: Callable[[n
     return left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and elements (the whole set, as bytes) of the documents in `wanted`."""
+def _sets(docs: DataFrame, wanted: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+    """doc_id and elements (the whole set, as bytes) of the documents that `wanted` keeps."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -224,7 +225,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for ids, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets([t or b"" for t in texts], width)], pa.binary())], ["doc_id", "elements"])
 
-    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, elements binary")
+    return docs.transform(wanted).mapInArrow(run, "doc_id long, elements binary")
+
+
+def _only(pairs: DataFrame, first: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the rows of a table whose doc_id is in a pair. The ids are broadcast while there are at most BROADCAST_IDS of them (counted), so
+    that wide rows stay where they are; otherwise, and in the `first` round, which asks for a share of the documents, both sides are shuffled."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "shingle-ids")
+    side = F.broadcast(ids) if not first and ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return lambda rows: rows.join(side, "doc_id", "left_semi")
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -262,19 +271,22 @@ def similar_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     members = written(classes.join(groups, "group").select("rep", "n", "group_id", "members"), "shingle-groups")
     # sets of fewer than 9 elements have no similar ones but equal ones at 0.9, and so on
     least = -(-percent // (100 - percent)) if percent < 100 else 2**62
-    prefixes = signed.select("doc_id", "n", "prefix").join(members.where(F.col("rep") == F.col("group_id")).select(F.col("rep").alias("doc_id"), "group_id"), "doc_id").where(F.col("n") >= least).dropDuplicates(["group_id"])
+    prefixes = signed.select("doc_id", "n", "prefix").join(members.where(F.col("rep") == F.col("group_id")).select(F.col("rep").alias("doc_id"), "group_id"), "doc_id").where(F.col("n") >= least).dropDuplicates(["doc_id"])
     first = written(_candidates(_postings(prefixes), percent, False), "shingle-candidates")
     pairs = first.where("kind = 0").select("a", "b").distinct()
     large = F.lit(8)
     lead = (F.col("x_rep") == F.col("x_group_id")) & (F.col("y_rep") == F.col("y_group_id"))
     inside = members.where("members > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b")).distinct()
-    heads = prefixes.select("doc_id", F.col("prefix").alias("elements"))
+    # prefixes move once: those of groups in a candidate pair or with a frequent element serve all rounds
+    asked = first.where("kind = 0").select(F.explode(F.array("a", "b")).alias("doc_id")).union(first.where("kind = 1").select(F.col("a").alias("doc_id"))).distinct()
+    heads = written(prefixes.join(asked, "doc_id", "left_semi").select("doc_id", F.col("prefix").alias("elements")), "shingle-heads")
     pairs = written(_verified(pairs, heads, percent, possible).distinct(), "shingle-pairs")
     one = _expanded(pairs.unionByName(inside), members.drop("n"), ((F.col("x_members") <= large) & (F.col("y_members") <= large)) | lead | ((F.col("a") == F.col("b")) & (F.col("x_rep") == F.col("x_group_id"))))
     one = written(one, "shingle-pairs")
-    sets = lambda of: written(_sets(docs, of.select(F.col("a").alias("doc_id")).union(of.select("b")).distinct(), width), "shingle-sets")
-    links = written(_verified(one, sets(one), percent), "shingle-links")
+    links = written(_verified(one, written(_sets(docs, _only(one, True), width), "shingle-sets"), percent), "shingle-links")
     parts, tried = written(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "shingle-parts"), one
+    # a pair of groups is compared on its prefixes once; those that pass stay in `pairs`
+    examined = first.where("kind = 0").select("a", "b").distinct()
     # dense neighbourhoods again, between components alone: leaders at random, then those with the most links, then all that is left
     for by_links, leaders in ((False, MORE_LEADERS), (True, MORE_LEADERS), (True, 0)):
         labelled = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -285,12 +297,15 @@ def similar_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
             scored = labelled.withColumn("score", F.xxhash64("rep").bitwiseAND(F.lit(2**62 - 1)))
         whole = scored.groupBy("group_id").agg(F.min("component").alias("label"), (F.min("component") != F.max("component")).cast("int").alias("mixed"), F.max("score").alias("score"))
         again = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").join(whole, "group_id")
-        open_ = _verified(_candidates(again, percent, True, leaders).select("a", "b").distinct(), heads, percent, possible)
-        open_ = open_ if leaders else open_.union(pairs).union(inside).distinct()
+        open_ = written(_candidates(again, percent, True, leaders).select("a", "b").distinct().join(examined, ["a", "b"], "left_anti"), "shingle-candidates-again")
+        examined = examined.unionByName(open_)
+        open_ = written(_verified(open_, heads.transform(_only(open_)), percent, possible).distinct(), "shingle-pairs")
+        pairs = pairs.unionByName(open_)
+        open_ = open_ if leaders else pairs.unionByName(inside).distinct()
         keep = F.col("x_component") != F.col("y_component")
         two = _expanded(open_, labelled.select("group_id", "rep", "component"), lead & keep if leaders else keep)
         two = written(two.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
-        more = written(_verified(two, sets(two), percent), "shingle-links")
+        more = written(_verified(two, written(_sets(docs, _only(two), width), "shingle-sets"), percent), "shingle-links")
         tried = tried.unionByName(two)
         if more.limit(1).count():
             links = links.unionByName(more)
