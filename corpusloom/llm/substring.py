@@ -43,7 +43,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Windows of texts cut into runs with one seed: window hashes, and for each run its seed, text, first window in the text, place in the hashes, length."""
+    """Windows of texts cut into runs of at most `window` with one seed: window hashes, and for each run its seed, text, first window in the text, place in the hashes, length."""
     hashes, _, _, first = words_of(texts)
     windows, seeds = rolling(hashes, window), sliding_min(rolling(hashes, seed), window - seed + 1)
     n = np.maximum(np.diff(first) - window + 1, 0)
@@ -53,6 +53,9 @@ def runs_of(texts: list[bytes], window: int, seed: int) -> tuple[np.ndarray, ...
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
+    # a passage that comes back keeps the seed: runs are cut at `window` windows, so that the first and last cover every word
+    new[spread(np.diff(np.append(begin, len(doc))))[1] % window == 0] = True
+    begin = np.flatnonzero(new)
     return windows, seeds[begin], doc[begin], at[begin], begin, np.diff(np.append(begin, len(doc)))
 
 
@@ -64,7 +67,7 @@ def _pack_runs(batches: Iterator, window: int, seed: int, cells: int) -> Iterato
         if not len(begin):
             continue
         ids_, keys_ = np.array(ids, dtype=np.int64)[doc], np.array(keys, dtype=np.int32)[doc]
-        # a run is at most as long as a window: its first and last window cover it
+        # a run has at most `window` windows: its first and last cover it
         order = np.lexsort((ids_, length, windows[begin + length - 1], windows[begin]))
         same = np.zeros(len(order), dtype=bool)
         same[1:] = (windows[begin][order][1:] == windows[begin][order][:-1]) & (windows[begin + length - 1][order][1:] == windows[begin + length - 1][order][:-1]) & (length[order][1:] == length[order][:-1])

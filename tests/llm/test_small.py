@@ -157,3 +157,19 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i][0] == hit[i].sum() - 1 for i in range(len(x)))
     assert all(got[i][1] == min(np.flatnonzero(hit[i])) for i in range(len(x)))
     assert all(got[i] == (0, i, True) for i in (100, 101, 102, 103))
+
+
+def test_substring_keeps_the_middle_of_runs_that_begin_and_end_alike(spark):
+    rng = random.Random(9)
+    filler = lambda: [f"u{rng.randrange(10**6)}" for _ in range(5)]
+    line = ["q8a", "q8b"]  # of a low hash: it comes back within a window and is the seed of all windows
+    head, tail = ([x for _ in range(3) for x in [*line, *filler()]] for _ in range(2))
+    texts = [" ".join([*head, *(x for _ in range(6) for x in [*line, *filler()]), *tail, *line]) for _ in range(12)]
+    window, seed = 12, 2
+    lists = [t.split() for t in texts]
+    want = []
+    for d, w in enumerate(lists):
+        earlier = {tuple(v[i : i + window]) for v in lists[:d] for i in range(len(v) - window + 1)}
+        gone = {i + k for i in range(len(w) - window + 1) if tuple(w[i : i + window]) in earlier for k in range(window)}
+        want.append(" ".join(x for i, x in enumerate(w) if i not in gone))
+    assert [r.text for r in substring.deduplicated(documents(spark, texts), window, seed).orderBy("doc_id").collect()] == want
