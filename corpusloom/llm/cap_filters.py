@@ -2,7 +2,8 @@
 
 Vectors are rotated at random and cut into blocks; each block has a random code, and a filter direction is one word of each code. A vector is
 list-decoded to all directions whose inner product with it exceeds a threshold (and its best few in any case). The number of directions grows
-with the number of vectors, so that a filter keeps holding a few unrelated vectors. Vectors of one filter are compared exactly, in double
+with the number of vectors, so that a filter keeps holding a few unrelated vectors. The filters of a vector grow with it too: as many as random
+pairs at exactly the threshold need to share one with `RECALL`, found by trial on the very codes that are used. Vectors of one filter are compared exactly, in double
 precision. Equal vectors are one class from the start. A filter with more than `BLOCK` vectors is cut into blocks whose pairs are separate units of
 work, so that a task holds two blocks at most. A pair counts in the first filter that both vectors share; a unit gives each vector's number of
 links and a spanning forest, never its pairs.
@@ -24,8 +25,10 @@ from corpusloom.llm.common import table, written
 from corpusloom.llm.graph import components
 
 THRESHOLD = 0.95
-#: Filters that a random vector exceeds on average, and those it gets at least.
+#: Filters that a random vector exceeds on average, and those it gets at least; both grow alike where RECALL asks for more.
 FILTERS, LEAST_FILTERS = 16, 8
+#: Share of trial pairs at the threshold that a filter has to hold; from MOST_FILTERS on, wider filters make up for it.
+RECALL, TRIALS, MOST_FILTERS = 0.985, 2_000, 256
 #: Unrelated vectors that a filter holds on average.
 IN_FILTER = 6
 BLOCK = 512
@@ -40,16 +43,18 @@ def _tail(dim: int, p: float) -> float:
 
 
 class CapFilters:
-    def __init__(self, dim: int, vectors: int, seed: int = 7):
+    def __init__(self, dim: int, vectors: int, seed: int = 7, filters: int = FILTERS, in_filter: int = IN_FILTER):
         rng = np.random.default_rng([seed, dim])
-        directions = max(4096, FILTERS * vectors // IN_FILTER)
+        directions = max(4096, filters * vectors // in_filter)
         self.blocks = max(1, min(dim // 8 or 1, 2 if directions <= 2048**2 else 3 if directions <= 2048**3 else 4))
         self.words = math.ceil(directions ** (1 / self.blocks))
         self.cut = np.array_split(np.arange(dim), self.blocks)
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.codes = [c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt(len(at) / dim) for at in self.cut for c in (rng.normal(size=(self.words, len(at))),)]
-        self.least = _tail(dim, min(0.5, FILTERS / self.words**self.blocks))
+        self.least = _tail(dim, min(0.5, filters / self.words**self.blocks))
+        self.at_least = min(LEAST_FILTERS * filters // FILTERS, self.words**self.blocks)
         self.salt = dim * 0x9E3779B1
+        self.step = max(1, min(256, (1 << 22) // self.words))  # vectors to decode at once
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """For each unit vector its filters' numbers, ascending."""
@@ -67,15 +72,43 @@ class CapFilters:
                     total = sums[:, None] + s[k][at][None, :]
                     a, b = np.nonzero(total >= bound - rest)
                     ids, sums = ids[a] * self.words + at[b], total[a, b]
-                if len(ids) >= min(LEAST_FILTERS, self.words**self.blocks):
+                if len(ids) >= self.at_least:
                     break
                 bound -= 0.02
             if bound < self.least:
-                ids = ids[np.argsort(-sums, kind="stable")[:LEAST_FILTERS]]
+                ids = ids[np.argsort(-sums, kind="stable")[: self.at_least]]
             out.append(np.sort(ids) * 8191 + self.salt)
         return out
 
 
+def recall(filters: CapFilters, dim: int, threshold: float, trials: int = TRIALS, seed: int = 11) -> float:
+    """The share of random pairs at exactly cosine `threshold` that share a filter."""
+    rng = np.random.default_rng([seed, dim])
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, trials, dim)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = threshold * a + math.sqrt(1 - threshold**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    found = 0
+    for lo in range(0, trials, filters.step):
+        pairs = zip(filters.decode(a[lo : lo + filters.step]), filters.decode(b[lo : lo + filters.step]), strict=True)
+        found += sum(bool(len(np.intersect1d(x, y))) for x, y in pairs)
+    return found / trials
+
+
+def fitted(dim: int, vectors: int, threshold: float) -> dict[str, int]:
+    """The filters that RECALL needs at the threshold: arguments of CapFilters."""
+    filters, in_filter = FILTERS, IN_FILTER
+    if dim < 2 or vectors < 2 or not -1 < threshold < 1:
+        return {}
+    while (share := recall(CapFilters(dim, vectors, filters=filters, in_filter=in_filter), dim, threshold)) < RECALL:
+        if filters < MOST_FILTERS:
+            filters = min(MOST_FILTERS, math.ceil(filters * min(4.0, max(1.1, math.log(1 - RECALL) / math.log(1 - max(share, 0.01))))))
+        elif in_filter < vectors:
+            in_filter *= 2
+        else:
+            break  # a filter is half of all directions
+    return {"filters": filters, "in_filter": in_filter}
+
+
 def unit(embeddings: list) -> np.ndarray:
     x = np.array(embeddings, dtype=np.float64)
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
@@ -154,6 +187,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     good = rows.where("fine").drop("fine").withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))  # -0.0 is 0.0
     classes = written(good.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("weight")), "vector-classes")
     sizes = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
+    fits = {d: fitted(d, n, threshold) for d, n in sizes.items()}
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -163,9 +197,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             ids, weights, vectors_ = (b.column(k).to_pylist() for k in range(3))
             for d in {len(v) for v in vectors_}:
                 at = [k for k, v in enumerate(vectors_) if len(v) == d]
-                f = made.setdefault(d, CapFilters(d, sizes[d]))
-                for lo in range(0, len(at), 256):
-                    part = at[lo : lo + 256]
+                f = made.setdefault(d, CapFilters(d, sizes[d], **fits[d]))
+                for lo in range(0, len(at), f.step):
+                    part = at[lo : lo + f.step]
                     found = f.decode(unit([vectors_[k] for k in part]))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in part], pa.int64()), pa.array([weights[k] for k in part], pa.int64()), pa.array([vectors_[k] for k in part], pa.list_(pa.float64())), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["class", "weight", "embedding", "filters"])
 

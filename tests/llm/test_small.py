@@ -173,3 +173,10 @@ def test_substring_keeps_the_middle_of_runs_that_begin_and_end_alike(spark):
         gone = {i + k for i in range(len(w) - window + 1) if tuple(w[i : i + window]) in earlier for k in range(window)}
         want.append(" ".join(x for i, x in enumerate(w) if i not in gone))
     assert [r.text for r in substring.deduplicated(documents(spark, texts), window, seed).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("vectors", [10_000, 1_000_000, 2_000_000])
+def test_filters_hold_pairs_at_the_threshold_at_every_size(vectors):
+    made = cap_filters.CapFilters(64, vectors, **cap_filters.fitted(64, vectors, 0.95))
+    assert made.blocks == (3 if vectors > 1_500_000 else 2)
+    assert cap_filters.recall(made, 64, 0.95, 1_500, seed=99) >= 0.975
