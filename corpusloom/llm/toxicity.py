@@ -77,34 +77,30 @@ class Lexicon:
             for c in word:
                 node = node.setdefault(c, {})
             node[""] = word
-            if len(word) >= 4:  # of n + 1 pieces of the term, n edits leave one as it is
+            if len(word) >= 4:
                 edits = self.allowed(word)
                 cuts = [len(word) * k // (edits + 1) for k in range(edits + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for at in range(max(0, a - edits), a + edits + 1):
-                        at_here = pieces.setdefault((at, b - a), {})
-                        at_here[word[a:b]] = max(edits, at_here.get(word[a:b], 0))
+                swapped = [word[: c - 1] + word[c] + word[c - 1] + word[c + 1 :] for c in cuts[1:-1]]
+                # of n + 1 pieces, n edits leave one as it is, unless one is a swap over a cut. With a swap over the first cut, the other edit
+                # leaves the last piece or stands behind the first (swapped) one; over the second, it leaves the first or the (swapped) last.
+                marks = [(word[a:b], a, edits) for a, b in zip(cuts, cuts[1:], strict=False)] + [(swapped[0][: cuts[1]], 0, 0)]
+                if edits == 2:
+                    marks.append((swapped[1][cuts[2] :], cuts[2], 1))
+                for piece, a, shift in marks:
+                    for at in range(max(0, a - shift), a + shift + 1):
+                        at_here = pieces.setdefault((at, len(piece)), {})
+                        at_here[piece] = max(edits, at_here.get(piece, 0))
         self._pieces = [(at, at + size, of.get) for (at, size), of in sorted(pieces.items())]
-        self._shortest, self._longest = min(map(len, self.terms), default=0) - 1, max(map(len, self.terms), default=-9) + 2
+        self._shortest, self._longest = min((len(t) - self.allowed(t) for t in self.terms), default=0), max(map(len, self.terms), default=-9) + 2
         self._stem_sizes = sorted({len(x) for x in self.stems})
 
     @staticmethod
     def allowed(term: str) -> int:
         return 2 if len(term) >= 8 else 1 if len(term) >= 4 else 0
 
-    def _near(self, word: str) -> int:
-        """The edits that are worth trying: 0 where no term has a piece of `word` about where it stands there. A swap over the cut of two pieces
-        isn't seen by the pieces; such words are tried by their letters in order of the swap."""
-        return max([get(word[a:b], 0) for a, b, get in self._pieces], default=0)
-
     def _tries(self, word: str) -> int:
-        most = self._near(word)
-        if not most and len(word) >= 4:
-            m = len(word) // 2
-            for i in (m - 1, m):
-                if 0 <= i < len(word) - 1:
-                    most = max(most, self._near(word[:i] + word[i + 1] + word[i] + word[i + 2 :]))
-        return most
+        """The edits that are worth trying: 0 where no term has a piece of `word` about where it stands there."""
+        return max([get(word[a:b], 0) for a, b, get in self._pieces], default=0)
 
     def within(self, word: str, edits: int) -> list[tuple[str, int]]:
         """(term, edits) of all terms that the automaton of `word` accepts on the trie."""

@@ -180,3 +180,19 @@ def test_filters_hold_pairs_at_the_threshold_at_every_size(vectors):
     made = cap_filters.CapFilters(64, vectors, **cap_filters.fitted(64, vectors, 0.95))
     assert made.blocks == (3 if vectors > 1_500_000 else 2)
     assert cap_filters.recall(made, 64, 0.95, 1_500, seed=99) >= 0.975
+
+
+def test_pieces_lose_no_misspelling_that_the_automaton_accepts():
+    rng = random.Random(8)
+    for near, term in (("wotrhle*s", "worthless"), ("0orthelss", "worthless"), ("ibmeci*e", "imbecile"), ("ptahet*c", "pathetic")):
+        assert toxicity.Lexicon({term: 4.0}, {}).misspelt(near) == (term, 2)
+    assert toxicity.Lexicon({"worthless": 4.0}, {}).misspelt("wrthles") == ("worthless", 2)
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    edit = (swap, lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + "*" + w[i + 1 :], lambda w, i: w[:i] + "*" + w[i:])
+    for _ in range(4000):
+        terms = ["".join(rng.choices("abcdefghij", k=rng.choice([4, 5, 7, 8, 9, 10, 11, 12]))) for _ in range(rng.choice([1, 5]))]
+        lexicon, word = toxicity.Lexicon(dict.fromkeys(terms, 1.0), {}), terms[0]
+        for _ in range(2):
+            word = rng.choice(edit)(word, rng.randrange(len(word) - 1))
+        accepted = [n for t, n in lexicon.within(word, 2) if n <= lexicon.allowed(t)]
+        assert lexicon._tries(word) >= max(accepted, default=0) and (not 3 <= len(word) or (lexicon.misspelt(word) is not None) == any(accepted)), (terms, word)
