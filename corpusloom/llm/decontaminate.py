@@ -7,10 +7,11 @@ nearly all are the item's own. An item leaks into a document
 where at least `COVERAGE` of its windows are found on consistent diagonals, verbatim or with other parameters.
 
 The benchmark's windows are broadcast, behind a Bloom filter, while there are at most `BROADCAST_WINDOWS` of them (counted first) and
-shuffled otherwise. Windows of
-fewer than `LITERALS` plain words say too little and are left out on the benchmark's side; items shorter than a window are one window.
+shuffled otherwise. A template of
+fewer than `LITERALS` plain words says too little: such windows of the benchmark are bare and match word for word and value for value only. Where it is more, an item's coverage is
+that of its other windows alone, so that other parameters don't count against it. Items shorter than a window are one window.
 
-Edge cases: null and empty texts match nothing; null items and items without such windows are never found; repeated items are found together;
+Edge cases: null and empty texts match nothing; null items and items without words are never found; repeated items are found together;
 repeated documents are rows of their own with equal results (doc_id is taken as the key of a document's text; rows with one doc_id share the
 union of their matches); other columns are ignored.
 """
@@ -93,44 +94,59 @@ def _hashes() -> Column:
     return F.transform(template(F.col("tokens")), lambda w: F.xxhash64(w))
 
 
+def _exact() -> Column:
+    """Hashes of words and values as they stand, whatever type of slot they are; apart from those of templates."""
+    return F.transform("tokens", lambda w: F.xxhash64(F.when(w.startswith(MARK), w.substr(F.lit(3), F.length(w))).otherwise(w), F.lit("exact")))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, reparameterised for each benchmark item that leaks into a document."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", tokens(F.col("text")).alias("tokens"))
     items = items.groupBy("tokens").agg(F.array_sort(F.collect_set("item_id")).alias("items")).where(F.size("tokens") > 0).withColumn("item", F.element_at("items", 1))
     items = written(items.withColumn("hashes", _hashes()), "benchmark-items", 8)
     short = [r.n for r in items.where(F.size("tokens") < window).select(F.size("tokens").alias("n")).distinct().collect()]  # at most window - 1 lengths
-    own = _exploded(items.where(F.size("tokens") >= window), ["item", "tokens"], [window])
-    for w in short:
-        own = own.union(_exploded(items.where(F.size("tokens") == w), ["item", "tokens"], [w]))
+    with_exact = items.withColumn("exact", _exact())
+    sides = []
+    for kind in ("hashes", "exact"):
+        each = with_exact.select("item", "tokens", F.col(kind).alias("hashes"), F.lit(kind == "exact").alias("bare"))
+        sides.append(_exploded(each.where(F.size("tokens") >= window), ["item", "tokens", "bare"], [window]))
+        sides += [_exploded(each.where(F.size("tokens") == w), ["item", "tokens", "bare"], [w]) for w in short]
+    own = sides[0]
+    for side in sides[1:]:
+        own = own.union(side)
     plain = F.size(F.filter(F.slice("tokens", F.col("pos"), F.col("width")), lambda t: ~t.startswith(MARK)))
-    own = written(own.where(plain >= F.least(F.lit(LITERALS), F.col("width"))).select("item", "width", F.col("pos").alias("item_pos"), "hash"), "benchmark-windows", 8)
-    n_windows = own.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
+    own = written(own.where(F.col("bare") == (plain < F.least(F.lit(LITERALS), F.col("width")))).select("item", "bare", "width", F.col("pos").alias("item_pos"), "hash"), "benchmark-windows", 8)
+    n_windows = own.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(~F.col("bare")).alias("n_templates"))
+    bare = [r.width for r in own.where("bare").select("width").distinct().collect()]  # at most `window` widths
 
     n_own = own.count()
-    mine = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _once(tokens(F.col("text"))).alias("tokens")).select("doc_id", "tokens", _once(_hashes()).alias("hashes"))
+    mine = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _once(tokens(F.col("text"))).alias("tokens")).select("doc_id", "tokens", _once(_hashes()).alias("hashes"), *([_once(_exact()).alias("exact")] if bare else []))
     windows = _windows(F.col("hashes"), [window, *short])
+    if bare:
+        windows = F.concat(windows, _windows(F.col("exact"), bare))
     found_in = F.slice("tokens", F.col("pos"), F.col("width")).alias("doc_tokens")
     if n_own <= BROADCAST_WINDOWS:  # windows that the benchmark can't have are left out before they are rows, so that the tokens go along with those that stay
         bits = min(max(1 << 16, 1 << (32 * n_own).bit_length()), MOST_BITS)
         bitmap = _bitmap(own, bits)
         near = mine.select("doc_id", "tokens", _once(F.filter(windows, lambda w: _maybe(bitmap, w["hash"], bits))).alias("near")).select("doc_id", "tokens", F.explode("near").alias("w")).select("doc_id", "tokens", "w.*")
-        matches = near.join(F.broadcast(own), ["width", "hash"]).select("doc_id", "item", "width", "pos", "item_pos", found_in)
+        matches = near.join(F.broadcast(own), ["width", "hash"]).select("doc_id", "item", "bare", "width", "pos", "item_pos", found_in)
     else:
-        near = _exploded(mine.select("doc_id", "hashes"), ["doc_id"], [window, *short]).join(own, ["width", "hash"]).select("doc_id", "item", "width", "pos", "item_pos")
-        matches = near.join(mine.select("doc_id", "tokens"), "doc_id").select("doc_id", "item", "width", "pos", "item_pos", found_in)
+        near = mine.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*").join(own, ["width", "hash"]).select("doc_id", "item", "bare", "width", "pos", "item_pos")
+        matches = near.join(mine.select("doc_id", "tokens"), "doc_id").select("doc_id", "item", "bare", "width", "pos", "item_pos", found_in)
     matches = written(matches.distinct(), "leak-windows")
 
     item_tokens = items.select("item", F.col("tokens").alias("item_tokens"))
     item_slots = F.exists("item_tokens", lambda t: t.startswith(MARK))
-    with_slots = matches.join(item_tokens.where(item_slots), "item")
+    with_slots = matches.where("not bare").join(item_tokens.where(item_slots), "item")
     pairs = F.arrays_zip(F.slice("item_tokens", F.col("item_pos"), F.col("width")).alias("i"), F.col("doc_tokens").alias("d"))
     filled = with_slots.select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.explode(F.filter(pairs, lambda p: p["i"].startswith(MARK))).alias("p"))
     slots = filled.groupBy("doc_id", "item", "diagonal", "p.i").agg(F.min("p.d").alias("low"), F.max("p.d").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.d") == F.col("p.i")).alias("same"))
     slots = slots.groupBy("doc_id", "item", "diagonal").agg((F.bool_and(F.col("low") == F.col("high")) | (F.sum("same") >= F.sum("n") * VERBATIM)).alias("consistent"), F.bool_or(F.col("low") != F.col("i")).alias("changed"))
 
-    found = matches.withColumn("diagonal", F.col("pos") - F.col("item_pos")).join(slots, ["doc_id", "item", "diagonal"], "left").where(F.coalesce("consistent", F.lit(True)))
-    found = found.groupBy("doc_id", "item").agg(F.countDistinct("item_pos").alias("hit"), F.bool_or(F.coalesce("changed", F.lit(False))).alias("reparameterised")).join(n_windows, "item")
-    found = found.withColumn("coverage", F.col("hit") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    found = matches.withColumn("diagonal", F.col("pos") - F.col("item_pos")).join(slots, ["doc_id", "item", "diagonal"], "left").where(F.col("bare") | F.coalesce("consistent", F.lit(True)))
+    templates = F.count_distinct(F.when(~F.col("bare"), F.col("item_pos")))
+    found = found.groupBy("doc_id", "item").agg(F.countDistinct("item_pos").alias("hit"), templates.alias("hit_templates"), F.bool_or(~F.col("bare") & F.coalesce("changed", F.lit(False))).alias("reparameterised")).join(n_windows, "item")
+    found = found.withColumn("coverage", F.greatest(F.col("hit") / F.col("n_windows"), F.try_divide("hit_templates", "n_templates"))).where(F.col("coverage") >= coverage)
     return found.join(items.select("item", "items"), "item").select("doc_id", F.explode("items").alias("item_id"), "coverage", "reparameterised")
 
 

@@ -196,3 +196,14 @@ def test_pieces_lose_no_misspelling_that_the_automaton_accepts():
             word = rng.choice(edit)(word, rng.randrange(len(word) - 1))
         accepted = [n for t, n in lexicon.within(word, 2) if n <= lexicon.allowed(t)]
         assert lexicon._tries(word) >= max(accepted, default=0) and (not 3 <= len(word) or (lexicon.misspelt(word) is not None) == any(accepted)), (terms, word)
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_items_of_few_plain_words_are_found_verbatim(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    items = ["What is 12 * 34 - 56 / 7?", "Solve 3x + 5 = 20 for x", "What is 17 times 23?", "Compute 3/4 + 5/6 - 7/8 + 9/10.", "2, 4, 8, 16, 32, 64: what comes next?", "Convert 5 km and 300 m to 12 miles 4 ft 6 in"]
+    mixed = "Take 3, 4, 5, 6, 7, 8, 9, 11, 12, 15 and then say which of all these numbers is the largest one"
+    texts = ["so, " + t + " he asked" for t in items] + ["What is 13 * 35 - 57 / 8?", "so, " + mixed, "so, " + "".join(str(9 - int(c)) if c.isdigit() else c for c in mixed)]
+    bench = spark.createDataFrame(list(enumerate([*items, mixed])), "item_id long, text string")
+    got = {r.doc_id: (list(r.item_ids), r.reparameterised) for r in decontaminate.marked(documents(spark, texts), bench).collect()}
+    assert got == {**{i: ([i], False) for i in range(6)}, 6: ([], False), 7: ([6], False), 8: ([6], True)}
