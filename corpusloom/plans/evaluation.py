@@ -197,7 +197,7 @@ def metric_direction(spark, d):  # type: ignore[no-untyped-def]
 
 def metric_sign_test(spark, d):  # type: ignore[no-untyped-def]
     """A-10, U-05: the exact sign test over parts."""
-    p = _pairs(spark, d).where("item <= 40").groupBy("item").agg(*M.direction())
+    p = _pairs(spark, d).groupBy("item").agg(*M.direction())
     return p.select("item", "win", "loss", S.binomial_two_sided(F.col("win"), F.col("win") + F.col("loss")).alias("p"))
 
 
