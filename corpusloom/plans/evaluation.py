@@ -245,6 +245,12 @@ def heldout_reference(spark, d):  # type: ignore[no-untyped-def]
     return M.held_out_reference(r).select("conv_id", "turn", "reference")
 
 
+def heldout_reference_all_turns(spark, d):  # type: ignore[no-untyped-def]
+    """J-07 over whole conversations; heldout_reference keeps to the turns of its SQL."""
+    r = read(spark, d, "conversations").select((F.col("conv_id") % 40).alias("item"), "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("good"))
+    return M.held_out_reference(r).select("conv_id", "turn", "reference")
+
+
 def span_localisation(spark, d):  # type: ignore[no-untyped-def]
     """J-17, A-24: the first bar of a line of a table as gold, every comma as a prediction."""
     t = read(spark, d, "documents").select("lang", F.instr("text", ".").alias("at"), F.instr("text", ",").alias("comma"), F.length("text").alias("len"))
@@ -273,7 +279,7 @@ def token_spans(spark, d):  # type: ignore[no-untyped-def]
 QUERIES = {f.__name__: f for f in (
     props_json_extract, panel_cells, panel_balance, panel_missing_cells, gradient_drop, mcnemar_pairs, mcnemar_exact, binomial_vs_chance, holm_adjust, prompt_robustness, modal_value_by_system, modal_unanimity, dfr_range, length_leak_detector, answer_locus_drop,
     wording_delta, raw_integrity, restricted_overlap_gate, audit_findings, html_to_text, clean_ops_histogram, onset_crossing, first_n_per_stratum, metric_direction, metric_sign_test, metric_magnitude, metric_groupings, z_floor, splice_decomposition,
-    variant_dedup_ids, positional_score_join, heldout_reference, span_localisation, chrf_sentence, mean_interval, token_spans,
+    variant_dedup_ids, positional_score_join, heldout_reference, heldout_reference_all_turns, span_localisation, chrf_sentence, mean_interval, token_spans,
 )}
 
 _MODAL = SCORED + ", m AS (SELECT system, slot, emitted, count(*) AS n FROM scored WHERE emitted IS NOT NULL GROUP BY ALL), modal AS (SELECT system, slot, emitted AS modal, n, n / sum(n) OVER (PARTITION BY system, slot) AS modal_share, row_number() OVER (PARTITION BY system, slot ORDER BY n DESC, emitted) AS r FROM m)"

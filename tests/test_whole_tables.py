@@ -1,5 +1,6 @@
 """Metric studies that take whole tables, against plain Python on small fixtures."""
 
+import hashlib
 from math import comb
 
 from corpusloom.plans import evaluation
@@ -11,3 +12,11 @@ def test_sign_test_of_every_item(spark, tmp_path):
     spark.createDataFrame(rows, "l_returnflag string, l_suppkey long, l_partkey long, l_extendedprice double, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["item"]: (r.win, r.loss, round(r.p, 9)) for r in evaluation.metric_sign_test(spark, str(tmp_path)).collect()}
     assert got == {i: (w, l, round(min(1.0, 2 * sum(comb(w + l, k) for k in range(min(w, l) + 1)) / 2 ** (w + l)), 9)) for i, (w, l) in wins.items()}
+
+
+def test_references_of_all_turns(spark, tmp_path):
+    rows = [(c, t, "user", f"text {(c * 7 + t) % 5}") for c in (1, 2, 41, 42, 81) for t in range(9)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = {(c, t): min((digest(y) for d, _, _, y in rows if d % 40 == c % 40 and y != x), default=None) for c, t, _, x in rows}
+    assert {(r.conv_id, r.turn): r.reference for r in evaluation.heldout_reference_all_turns(spark, str(tmp_path)).collect()} == want
