@@ -178,7 +178,7 @@ def test_substring_keeps_the_middle_of_runs_that_begin_and_end_alike(spark):
 @pytest.mark.parametrize("vectors", [10_000, 1_000_000, 2_000_000])
 def test_filters_hold_pairs_at_the_threshold_at_every_size(vectors):
     made = cap_filters.CapFilters(64, vectors, **cap_filters.fitted(64, vectors, 0.95))
-    assert made.blocks == (3 if vectors > 1_500_000 else 2)
+    assert made.blocks == (2 if vectors == 10_000 else 3)  # more filters bring the third block earlier
     assert cap_filters.recall(made, 64, 0.95, 1_500, seed=99) >= 0.975
 
 
