@@ -19,22 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset: a temporary one in local mode, an error on a cluster,
+    whose executors would not see the driver's folders."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str, partitions: int | None = None) -> DataFrame:
-    """Cuts lineage: writes `df` to the shared folder (removed when the driver ends) and reads it back."""
+    """Cuts lineage: writes `df` to the shared folder (removed when the driver ends, or by `dropped`) and reads it back. What was shuffled for
+    it is freed at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, where nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or where the table has such a column, that with marks behind it until it has none."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_cells(spark: SparkSession) -> int:
@@ -125,13 +156,26 @@ def text_chunks(batches: Iterable, columns: tuple[str, ...] = ("doc_id",), text:
     held: list[list] = [[] for _ in (*columns, text)]
     size = 0
     for batch in batches:
-        rows = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-        for row in zip(*rows, batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist(), strict=True):
-            for column, value in zip(held, row, strict=True):
-                column.append(value)
-            size += len(row[-1] or b"") + 1
+        at = [batch.schema.get_field_index(c) for c in (*columns, text)]
+        for part, n in _slices(batch, at[-1], limit):
+            for column, k in zip(held, at, strict=True):
+                values = part.column(k)
+                column += (values.cast(pa.binary()) if k == at[-1] else values).to_pylist()
+            size += n
             if size >= limit:
                 yield tuple(held)
                 held, size = [[] for _ in held], 0
     if held[0]:
         yield tuple(held)
+
+
+def _slices(batch, at: int, limit: int) -> Iterator[tuple]:  # noqa: ANN001
+    """(slice of an Arrow batch, bytes of its texts): up to the row that fills `limit`, so that a batch is never held as Python objects at once."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo, before = 0, 0
+    while lo < batch.num_rows:
+        hi = min(int(np.searchsorted(ends, before + limit)) + 1, batch.num_rows)
+        yield batch.slice(lo, hi - lo), int(ends[hi - 1]) - before
+        lo, before = hi, int(ends[hi - 1])

@@ -3,31 +3,36 @@
 A document is its set of 64-bit hashes of word shingles. Two sets with a Jaccard similarity of t share one of their first
 n - ceil(t * n) + 1 elements in any order that holds for all sets; the order here is by hash, with elements that many documents have at the
 end. Documents with equal sets are one class; classes of equal size and prefix are one group, and groups that share a prefix element are
-candidates where sizes and places in the prefixes allow the similarity (exactly: a pair passes at its first common element) and the prefixes
-themselves don't differ in too many elements. Group pairs are expanded to members and verified on the whole sets.
+candidates where sizes and places in the prefixes allow the similarity (exactly: a pair passes at its first common element). Group pairs are
+expanded to members. Each class carries a sketch, one bit for each of n or more buckets: whether the bucket holds an odd number of its
+elements. Sketches of two sets differ in at most as many bits as the sets have elements of their own, so that a pair whose sketches differ in
+too many is none; the others are verified on the whole sets.
 
 Only what connects matters for component_id, so dense neighbourhoods aren't verified pair by pair: of an element that more than `SMALL` groups
-share, and of a large group, members are first verified against a few leaders; rounds follow against other leaders, drawn at random and then those with
-the most links, and at last all candidate pairs that still lie in different components are verified. No link between components is lost, and
-pairs inside one are never listed.
+share, and of a large group, members are first verified against a few leaders; a round follows against the groups with the most links, and at
+last all candidate pairs that still lie in different components are verified. No link between components is lost, and pairs inside one are
+never listed. These rounds are joins on (element, stretch of sizes), whose larger side Spark may cut wherever it is skewed; the postings of
+frequent elements are salted, so that no task holds those of one element.
 
 Which elements count as frequent changes the order alone, never the result: a first pass counts shingles in each chunk of input and keeps
 the `FREQUENT` most frequent ones, a bounded table that is broadcast.
 
-Edge cases: null texts and texts without words have empty sets and link with nothing; texts shorter than a shingle are one shingle; rows of
-one doc_id are one node; rows without doc_id are their own component (null); an empty table gives an empty result.
+Edge cases: null texts and texts without words have empty sets and link with nothing; texts shorter than a shingle are one shingle; very long
+texts are one set, held by one worker at a time; rows of one doc_id are one node, with the links of all their texts; rows without doc_id are
+their own component (null); an empty table gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import rolling, table, text_chunks, words_of, written
+from corpusloom.llm.common import free_name, rolling, table, text_chunks, words_of, written
 from corpusloom.llm.graph import components
 
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -36,9 +41,12 @@ SHINGLE = 3
 FREQUENT = 200_000
 #: A frequent shingle is counted in chunks where at least so many documents have it, and is one from so many documents on.
 IN_CHUNK, FREQUENT_FROM = 3, 40
-SMALL, LEADERS, CHUNK = 32, 2, 128
-#: Leaders of the rounds after the first, and pairs of an element that are made at a time.
-MORE_LEADERS, BLOCK = 8, 1 << 20
+#: Groups that share an element and are compared all with all, and parts that the postings of a frequent element are dealt to.
+SMALL, SALTS = 32, 64
+#: Leaders of a stretch of sizes in the first and in the second round; pairs that are made at a time; pairs that one set is compared in.
+LEADERS, MORE_LEADERS, BLOCK, CHUNK = 4, 8, 1 << 17, 128
+#: Groups of more members send their leads alone in the first round.
+LARGE = 8
 BROADCAST_IDS = 1_000_000
 
 
@@ -46,7 +54,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, _, _, first = words_of(texts, lower=True)
     rolled = rolling(hashes, width)
-    return [np.unique(rolled[a : b - width + 1]) if b - a >= width else rolling(hashes[a:b], b - a) if b > a else rolled[:0] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    ends = zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
+    return [np.unique(rolled[a : b - width + 1]) if b - a >= width else rolling(hashes[a:b], b - a) if b > a else rolled[:0] for a, b in ends]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -60,6 +69,30 @@ def in_order(elements: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
     return np.concatenate([elements[~often], elements[often]]), int((~often).sum())
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """A bit for each of 64 * 2**k >= n buckets: whether an odd number of the elements falls into it."""
+    bits = max(64, 1 << max(len(elements) - 1, 0).bit_length())
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
+    """Whether sets of these sketches and sizes may be similar enough. The larger sketch is folded to the buckets of the smaller."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "little") ^ int.from_bytes(a[half:], "little")).to_bytes(half, "little")
+    apart = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+    return apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -70,7 +103,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for (texts,) in text_chunks(batches, (), limit=6_000_000):
+        for (texts,) in text_chunks(batches, (), limit=4_000_000):
             part, n = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_sets([t or b"" for t in texts], width)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(part[n >= IN_CHUNK])), pa.array(n[n >= IN_CHUNK])], ["h", "n"])
 
@@ -78,241 +111,291 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), group (digest of size and prefix), prefix (bytes: n, the number of elements that aren't frequent, elements)."""
+def signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keys` (long columns), n (set size), digest (of the set), group (digest of size and prefix), prefix (bytes: the number of elements that
+    aren't frequent, elements), sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    digest_of = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    names = [*keys, "n", "digest", "group", "prefix", "sketch"]
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for ids, texts in text_chunks(batches):
+        for *own, texts in text_chunks(batches, keys):
             rows = []
             for s in shingle_sets([t or b"" for t in texts], width):
                 ordered, rare = in_order(s, shared.value)
-                prefix = np.array([len(s), rare], dtype=np.uint64).tobytes() + ordered[: prefix_size(len(s), percent) if len(s) else 0].tobytes()
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix, digest_size=16).digest(), prefix))
-            n, digest, group, prefix = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "group", "prefix"])
-
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, group binary, prefix binary")
-
-
-def _passes(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets a and b, whose first common element stands at pos, can be similar enough."""
-    most = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
-    return (100 + percent) * most >= percent * (n[a] + n[b])
-
-
-def _leaders(n: np.ndarray, who: np.ndarray, score: np.ndarray, leaders: int, percent: int) -> np.ndarray:
-    """The groups of the highest scores in each stretch of sizes that are within the similarity."""
-    stretch = (np.log(n) / -np.log(min(percent, 99) / 100)).astype(np.int64)
-    order = np.lexsort((who, -score, stretch))
-    head = np.flatnonzero(np.r_[True, stretch[order][1:] != stretch[order][:-1]])
-    return np.unique(np.concatenate([order[np.minimum(head + k, np.r_[head[1:], len(n)] - 1)] for k in range(leaders)]))
-
-
-def _element_pairs(n: np.ndarray, pos: np.ndarray, who: np.ndarray, known: list[np.ndarray] | None, leaders: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs among the groups of one element, in blocks. Without `known`: all pairs of a few groups, pairs with leaders of many.
-    With it (label, whether members differ in it, score): pairs that are not known to be in one component, of `leaders` leaders or (0) all."""
-    m = len(n)
-    if known is None:
-        rows = np.arange(m) if m <= SMALL else _leaders(n, who, -who, LEADERS, percent)
-        settled = lambda a, b: b <= a if m <= SMALL else a == b
-    else:
-        label, mixed, score = known
-        apart = lambda a, b: (a != b) & ((label[a] != label[b]) | (mixed[a] > 0) | (mixed[b] > 0))
-        if leaders:
-            rows = _leaders(n, who, score, leaders, percent)
-            settled = lambda a, b: ~apart(a, b)
-        else:  # everything outside the largest component against all that is not of its own component
-            names, sizes = np.unique(label[mixed == 0], return_counts=True)
-            inside = (mixed == 0) & (label == names[sizes.argmax()]) if len(names) else np.zeros(m, dtype=bool)
-            rows = np.flatnonzero(~inside)
-            settled = lambda a, b: ~(apart(a, b) & (inside[b] | (a < b)))
-    step = max(1, BLOCK // m)
-    for k in range(0, len(rows), step):
-        some = rows[k : k + step]
-        a, b = np.repeat(some, m), np.tile(np.arange(m), len(some))
-        ok = ~settled(a, b) & _passes(n, pos, a, b, percent)
-        if ok.any():
-            yield a[ok], b[ok]
-
-
-def _candidates(postings: DataFrame, percent: int, labelled: bool, leaders: int = 0) -> DataFrame:
-    """kind 0: a group pair (a, b). kind 1 (not labelled): a posting of an element that many groups share, as (a, n, pos, element)."""
+                prefix = np.array([rare], dtype=np.uint64).tobytes() + ordered[: prefix_size(len(s), percent) if len(s) else 0].tobytes()
+                rows.append((len(s), digest_of(s.tobytes()), digest_of(len(s).to_bytes(8, "little") + prefix), prefix, sketch(s)))
+            n, *binary = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in own), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in binary)], names)
+
+    return docs.select(*keys, "text").mapInArrow(sign, ", ".join(f"{c} {'long' if c in (*keys, 'n') else 'binary'}" for c in names))
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """group_id, n, pos, element, salt for each element of each prefix; salt is 0 for elements that aren't frequent."""
+    names = ["group_id", "n", "pos", "element", "salt"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def pairs(rows: list[np.ndarray]) -> Iterator:
-            element, who, n, pos = rows[:4]
-            at = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
-            ends = np.r_[at[1:], len(element)]
-            for lo, hi in zip(at[ends - at > 1].tolist(), ends[ends - at > 1].tolist(), strict=True):
-                known = [x[lo:hi] for x in rows[4:]] if labelled else None
-                for a, b in _element_pairs(n[lo:hi], pos[lo:hi], who[lo:hi], known, leaders, percent):
-                    x, y = who[lo:hi][a], who[lo:hi][b]
-                    yield np.zeros(len(a), np.int32), np.minimum(x, y), np.maximum(x, y), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-                if not labelled and hi - lo > SMALL:
-                    yield np.ones(hi - lo, np.int32), who[lo:hi], element[lo:hi], n[lo:hi], pos[lo:hi]
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [np.frombuffer(x, dtype=np.int64) for x in part.column(2).to_pylist()]
+                size = [len(x) - 1 for x in found]
+                group = np.repeat(part.column(0).to_numpy(), size)
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+                often = pos >= np.repeat([int(x[0]) for x in found], size)
+                salt = np.where(often, 1 + group % SALTS, 0).astype(np.int32)
+                n = np.repeat(part.column(1).to_numpy(), size).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group, n, pos, np.concatenate([x[1:] for x in found]), salt)], names)
+
+    return prefixes.select("group_id", "n", "prefix").mapInArrow(run, "group_id long, n int, pos int, element long, salt int")
+
 
+def _fits(n_a: np.ndarray, pos_a: np.ndarray, n_b: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets, whose first common element stands at pos, can be similar enough."""
+    return (100 + percent) * np.minimum(n_a - pos_a, n_b - pos_b) >= percent * (n_a + n_b)
+
+
+def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """kind 0: a pair (a, b) of the few groups that share an element. kind 1: a posting of any other element, as (a, element, n, pos)."""
+    names = ["kind", "a", "b", "n", "pos"]
+
+    def told(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, pos: np.ndarray | None = None):  # noqa: ANN202
+        import pyarrow as pa
+
+        zero = np.zeros(len(a), dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + np.int32(kind), a, b, zero if n is None else n, zero if pos is None else pos)], names)
+
+    def of_elements(rows: list[np.ndarray]) -> Iterator:
+        element, salt, who, n, pos = rows
+        at = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+        m = np.diff(np.append(at, len(element)))
+        dense = (m > SMALL) | (salt[at] > 0)
+        out = np.repeat(dense, m)
+        if out.any():
+            yield told(1, who[out], element[out], n[out], pos[out])
+        for k in np.unique(m[~dense & (m > 1)]).tolist():  # all elements that k groups share at a time
+            heads, (i, j) = at[~dense & (m == k)], np.triu_indices(k, 1)
+            step = max(1, BLOCK // len(i))
+            for lo in range(0, len(heads), step):
+                a, b = ((heads[lo : lo + step, None] + x[None, :]).ravel() for x in (i, j))
+                ok = _fits(n[a].astype(np.int64), pos[a], n[b].astype(np.int64), pos[b], percent)
+                a, b = who[a[ok]], who[b[ok]]
+                if len(a):
+                    yield told(0, np.minimum(a, b), np.maximum(a, b))
+
+    def run(batches: Iterator) -> Iterator:
         held: list[np.ndarray] | None = None
         for b in batches:
-            rows = [b.column(i).to_numpy() for i in range(b.num_columns)]
+            rows = [b.column(i).to_numpy() for i in range(5)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left")) if len(rows[0]) else 0  # the last element may go on
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last element may go on
+            if rows[1][-1] > 0 and cut == 0:
+                cut = len(rows[0])  # a salted one goes through as it comes
             held = [x[cut:] for x in rows]
-            for out in pairs([x[:cut] for x in rows]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kind", "a", "b", "n", "pos"])
+            if cut:
+                yield from of_elements([x[:cut] for x in rows])
         if held is not None and len(held[0]):
-            for out in pairs(held):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kind", "a", "b", "n", "pos"])
+            yield from of_elements(held)
 
-    columns = ["element", "group_id", "n", "pos", *(["label", "mixed", "score"] if labelled else [])]
-    return postings.select(*columns).repartition("element").sortWithinPartitions("element").mapInArrow(run, "kind int, a long, b long, n long, pos long")
+    dealt = postings.select("element", "salt", "group_id", "n", "pos").repartition("element", "salt").sortWithinPartitions("element", "salt")
+    return dealt.mapInArrow(run, "kind int, a long, b long, n int, pos int")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are similar enough."""
-    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def _allows(percent: int) -> Column:
+    """`_fits` for columns x_n, x_pos, y_n, y_pos."""
+    most = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")).cast("long")
+    return (100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")).cast("long")
 
 
-def possible(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets may be similar, by their prefixes: up to where both are known, elements of one side alone are counted."""
-    known = []
-    for x in (a, b):
-        rare = x[2 : 2 + int(x[1])]
-        known.append((rare, rare[-1] if len(rare) == len(x) - 2 and len(rare) < int(x[0]) else np.uint64(2**64 - 1)))
-    bound = min(known[0][1], known[1][1])
-    p, q = (r[: np.searchsorted(r, bound, side="right")] for r, _ in known)
-    apart = len(p) + len(q) - 2 * int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(p) and len(q) else len(p) + len(q)
-    return apart * (100 + percent) <= (int(a[0]) + int(b[0])) * (100 - percent)
+def _sides(df: DataFrame, side: str, near: bool = False) -> DataFrame:
+    """Columns with a side's mark; `near`: a row for its own stretch of sizes and for either neighbour, which hold all similar sizes."""
+    if near:
+        df = df.withColumn("stretch", F.explode(F.array(*(F.col("stretch") + k for k in (-1, 0, 1)))))
+    return df.select(*(c if c in ("element", "stretch") else F.col(c).alias(f"{side}_{c}") for c in df.columns))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, test: Callable[[np.ndarray, np.ndarray, int], bool] = similar) -> DataFrame:
-    """The pairs (a, b) that pass a test on their elements. Those of a go once to each `CHUNK` of its pairs, those of b with the pair."""
-    counts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
-    right = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "elements")
-    left = counts.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "elements")
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    def compare(batches: Iterator) -> Iterator:
+
+def _with_leaders(dense: DataFrame, leaders: int, apart: Column, percent: int) -> DataFrame:
+    """Pairs of groups: each posting of a dense element (with `score`) with the leaders of its element that have about its size."""
+    bucket = F.pmod(F.xxhash64("group_id"), F.lit(leaders))
+    best = F.max(F.struct("score", *(c for c in dense.columns if c not in ("score", "element", "stretch"))))
+    heads = dense.groupBy("element", "stretch", bucket.alias("bucket")).agg(best.alias("r")).select("element", "stretch", "r.*").drop("score")
+    found = _sides(dense.drop("score"), "x").join(_sides(heads, "y", near=True), ["element", "stretch"])
+    return found.where((F.col("x_group_id") != F.col("y_group_id")) & apart & _allows(percent)).select(*_pair("x_group_id", "y_group_id")).distinct()
+
+
+def _between(dense: DataFrame, apart: Column, percent: int) -> DataFrame:
+    """Pairs of groups that share a dense element and may lie in different components: all that is outside the element's largest component
+    with all that is not of its own."""
+    sizes = dense.where("mixed = 0").groupBy("element", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("element").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    rows = dense.join(largest, "element", "left").withColumn("inside", (F.col("mixed") == 0) & F.coalesce(F.col("label") == F.col("main"), F.lit(False))).drop("main")
+    found = _sides(rows.where("not inside"), "x").join(_sides(rows, "y", near=True), ["element", "stretch"])
+    once = F.col("y_inside") | (F.col("x_group_id") < F.col("y_group_id"))
+    return found.where(once & (F.col("x_group_id") != F.col("y_group_id")) & apart & _allows(percent)).select(*_pair("x_group_id", "y_group_id")).distinct()
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, keep: Column) -> DataFrame:
+    """Pairs of classes of group pairs; `members` has group_id, class and what `keep` asks for (as x_* and y_*)."""
+    x, y = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in members.columns)) for side in ("x", "y"))
+    found = pairs.join(x, F.col("a") == F.col("x_group_id")).join(y, F.col("b") == F.col("y_group_id"))
+    return found.where(keep & (F.col("x_class") != F.col("y_class"))).select(*_pair("x_class", "y_class")).distinct()
+
+
+def _checked(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The class pairs (a, b) that their sketches allow."""
+
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, own = None, None
         for batch in batches:
-            out = []
-            for a, part, b, elements in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mine = np.frombuffer(elements, dtype=np.uint64)
-                if b is None:
-                    key, own = (a, part), mine
-                elif key == (a, part) and own is not None:
-                    if test(own, mine, percent):
-                        out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            for lo in range(0, batch.num_rows, 2_000):
+                part = batch.slice(lo, 2_000)
+                n_a, n_b, s_a, s_b = (part.column(k).to_pylist() for k in (2, 3, 4, 5))
+                ok = pa.array([possible(x, n, y, m, percent) for n, m, x, y in zip(n_a, n_b, s_a, s_b, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
-    return left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")
+    x, y = (sketches.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
-    """doc_id and elements (the whole set, as bytes) of the documents that `wanted` keeps."""
+def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """class and elements (the whole set, as bytes) of the classes in `pairs`, made from the text of one document of each. While these are at
+    most BROADCAST_IDS (counted), their ids are broadcast, so that texts stay where they are; beyond, both sides are shuffled."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = written(classes.join(asked, "class", "left_semi").select("class", "digest", F.col("rep").alias("doc_id")), "shingle-ids")
+    ids = wanted.select("doc_id").distinct()
+    side = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids.hint("merge")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for ids, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets([t or b"" for t in texts], width)], pa.binary())], ["doc_id", "elements"])
+        for own, texts in text_chunks(batches):
+            sets = [s.tobytes() for s in shingle_sets([t or b"" for t in texts], width)]
+            digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "elements"])
 
-    return docs.transform(wanted).mapInArrow(run, "doc_id long, elements binary")
+    made = docs.join(side, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, elements binary")
+    return made.dropDuplicates(["doc_id", "digest"]).join(wanted, ["doc_id", "digest"]).select("class", "elements")
 
 
-def _only(pairs: DataFrame, first: bool = False) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the rows of a table whose doc_id is in a pair. The ids are broadcast while there are at most BROADCAST_IDS of them (counted), so
-    that wide rows stay where they are; otherwise, and in the `first` round, which asks for a share of the documents, both sides are shuffled."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "shingle-ids")
-    side = F.broadcast(ids) if not first and ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    return lambda rows: rows.join(side, "doc_id", "left_semi")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The class pairs (a, b) that are similar. The set of a goes once to each `CHUNK` of its pairs, that of b with the pair."""
+    counts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
+    right = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(sets.withColumnRenamed("class", "b"), "b")
+    left = counts.join(sets.withColumnRenamed("class", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "elements")
 
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _postings(prefixes: DataFrame) -> DataFrame:
-    """group_id, n, pos, element for each element of each prefix."""
+        key, own = None, None
+        for batch in batches:
+            out = []
+            for lo in range(0, batch.num_rows, 64):
+                part_of = batch.slice(lo, 64)
+                for a, part, b, elements in zip(*(part_of.column(i).to_pylist() for i in range(4)), strict=True):
+                    mine = np.frombuffer(elements, dtype=np.uint64)
+                    if b is None:
+                        key, own = (a, part), mine
+                    elif key == (a, part) and own is not None and similar(own, mine, percent):
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    rows = left.unionByName(right.select("a", "part", "b", "elements"))
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                found = [np.frombuffer(x, dtype=np.int64)[2:] for x in part.column(2).to_pylist()]
-                n = [len(x) for x in found]
-                pos = np.concatenate([np.arange(k, dtype=np.int64) for k in n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(part.column(1).to_numpy(), n)), pa.array(pos), pa.array(np.concatenate(found))], ["group_id", "n", "pos", "element"])
 
-    return prefixes.select("group_id", "n", "prefix").mapInArrow(run, "group_id long, n long, pos long, element long")
+def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """class, digest, rep (least doc_id), component (a class, least of those that links lead to) for each distinct set of documents with a
+    doc_id. `docs` has long doc_id and string text, `signed` their signatures. `more` makes further links from (class, digest)."""
+    full = signed.where("n > 0 and doc_id is not null")
+    whole = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("sketch").alias("sketch"))
+    classes = written(whole.withColumn("class", F.monotonically_increasing_id()), "shingle-classes")  # written, so that the numbers stay
+    groups = classes.groupBy("group").agg(F.min("class").alias("group_id"), F.count(F.lit(1)).alias("members"))
+    members = written(classes.select("class", "n", "group", "digest", "rep").join(groups, "group"), "shingle-groups")
+    # sets of fewer than 9 elements have no similar ones but equal ones at 0.9, and so on
+    least = -(-percent // (100 - percent)) if percent < 100 else 2**62
+    heads = members.where((F.col("class") == F.col("group_id")) & (F.col("n") >= least)).select(F.col("rep").alias("doc_id"), "digest", "group_id")
+    prefixes = full.select("doc_id", "digest", "n", "prefix").join(heads, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    first = written(_candidates(_postings(prefixes), percent), "shingle-candidates")
+    stretch = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(min(percent, 99) / 100))).cast("int")
+    dense = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").withColumn("stretch", stretch)
+    members, sketches = members.drop("group", "digest", "rep"), classes.select("class", "n", "sketch")
+
+    def linked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """What is left of class pairs by their sketches, and the links among them."""
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        fresh = written(_checked(fresh, sketches, percent), "shingle-pairs")
+        return fresh, written(_verified(fresh, _sets(docs, fresh, classes, width), percent), "shingle-links")
 
+    inside = members.where("members > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b")).distinct()
+    started = _with_leaders(dense.withColumn("score", F.xxhash64("group_id", F.lit(1))), LEADERS, F.lit(True), percent)
+    pairs = first.where("kind = 0").select("a", "b").distinct().unionByName(started)
+    few = (F.col("x_members") <= LARGE) & (F.col("y_members") <= LARGE)
+    lead = (F.col("x_class") == F.col("x_group_id")) & (F.col("y_class") == F.col("y_group_id"))
+    to_lead = (F.col("a") == F.col("b")) & (F.col("x_class") == F.col("x_group_id"))
+    tried, links = linked(_expanded(pairs.unionByName(inside), members.drop("n"), few | lead | to_lead), None)
+    if more is not None:
+        links = links.unionByName(more(classes))
+    parts = _parts(links)
+    for leaders in (MORE_LEADERS, 0):  # between components alone: the groups with the most links, then all that is left
+        labelled = members.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").count()
+        whole = labelled.join(degree, "class", "left").groupBy("group_id").agg(F.min("component").alias("label"), (F.min("component") != F.max("component")).cast("int").alias("mixed"), F.coalesce(F.max("count"), F.lit(0)).alias("score"))
+        rows = dense.join(whole, "group_id")
+        apart = (F.col("x_label") != F.col("y_label")) | (F.col("x_mixed") > 0) | (F.col("y_mixed") > 0)
+        keep = F.col("x_component") != F.col("y_component")
+        if leaders:
+            open_ = _expanded(_with_leaders(rows, leaders, apart, percent), labelled.select("group_id", "class", "component"), lead & keep)
+        else:  # of large groups, pairs of the first round went by their leads alone
+            small = first.where("kind = 0").select("a", "b").unionByName(inside)
+            small = small.join(labelled.where(F.col("members") > 1).select(F.col("group_id").alias("g")).distinct(), (F.col("a") == F.col("g")) | (F.col("b") == F.col("g")), "left_semi") if members.where(F.col("members") > LARGE).limit(1).count() else inside
+            open_ = _expanded(_between(rows.drop("score"), apart, percent).unionByName(small).distinct(), labelled.select("group_id", "class", "component"), keep)
+        found, fresh = linked(open_, tried)
+        if fresh.limit(1).count():
+            tried, links = tried.unionByName(found), links.unionByName(fresh)
+            parts = _parts(links)
+    return classes.select("class", "digest", "rep").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
-def _expanded(pairs: DataFrame, members: DataFrame, keep: Column) -> DataFrame:
-    """Pairs of classes of group pairs; `members` has group_id, rep and what `keep` asks for (as x_* and y_*)."""
-    x, y = (members.select(*(F.col(c).alias(f"{side}_{c}") for c in members.columns)) for side in ("x", "y"))
-    return pairs.join(x, F.col("a") == F.col("x_group_id")).join(y, F.col("b") == F.col("y_group_id")).where(keep & (F.col("x_rep") != F.col("y_rep"))).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+def _parts(links: DataFrame) -> DataFrame:
+    return written(components(links, "a", "b").select(F.col("node").alias("class"), "component"), "shingle-parts")
 
 
 def similar_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, frequent_shingles(docs, width), width, percent), "shingle-signatures")
-    full = signed.where("n > 0 and doc_id is not null")
-    # one class for equal sets, one group for equal prefixes and sizes
-    classes = written(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "group")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.group"), "shingle-classes")
-    same = full.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
-    groups = classes.groupBy("group").agg(F.min("rep").alias("group_id"), F.count(F.lit(1)).alias("members"))
-    members = written(classes.join(groups, "group").select("rep", "n", "group_id", "members"), "shingle-groups")
-    # sets of fewer than 9 elements have no similar ones but equal ones at 0.9, and so on
-    least = -(-percent // (100 - percent)) if percent < 100 else 2**62
-    prefixes = signed.select("doc_id", "n", "prefix").join(members.where(F.col("rep") == F.col("group_id")).select(F.col("rep").alias("doc_id"), "group_id"), "doc_id").where(F.col("n") >= least).dropDuplicates(["doc_id"])
-    first = written(_candidates(_postings(prefixes), percent, False), "shingle-candidates")
-    pairs = first.where("kind = 0").select("a", "b").distinct()
-    large = F.lit(8)
-    lead = (F.col("x_rep") == F.col("x_group_id")) & (F.col("y_rep") == F.col("y_group_id"))
-    inside = members.where("members > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b")).distinct()
-    # prefixes move once: those of groups in a candidate pair or with a frequent element serve all rounds
-    asked = first.where("kind = 0").select(F.explode(F.array("a", "b")).alias("doc_id")).union(first.where("kind = 1").select(F.col("a").alias("doc_id"))).distinct()
-    heads = written(prefixes.join(asked, "doc_id", "left_semi").select("doc_id", F.col("prefix").alias("elements")), "shingle-heads")
-    pairs = written(_verified(pairs, heads, percent, possible).distinct(), "shingle-pairs")
-    one = _expanded(pairs.unionByName(inside), members.drop("n"), ((F.col("x_members") <= large) & (F.col("y_members") <= large)) | lead | ((F.col("a") == F.col("b")) & (F.col("x_rep") == F.col("x_group_id"))))
-    one = written(one, "shingle-pairs")
-    links = written(_verified(one, written(_sets(docs, _only(one, True), width), "shingle-sets"), percent), "shingle-links")
-    parts, tried = written(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "shingle-parts"), one
-    # a pair of groups is compared on its prefixes once; those that pass stay in `pairs`
-    examined = first.where("kind = 0").select("a", "b").distinct()
-    # dense neighbourhoods again, between components alone: leaders at random, then those with the most links, then all that is left
-    for by_links, leaders in ((False, MORE_LEADERS), (True, MORE_LEADERS), (True, 0)):
-        labelled = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if by_links:
-            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
-            scored = labelled.join(degree, "rep", "left").withColumn("score", F.coalesce("count", F.lit(0)))
-        else:
-            scored = labelled.withColumn("score", F.xxhash64("rep").bitwiseAND(F.lit(2**62 - 1)))
-        whole = scored.groupBy("group_id").agg(F.min("component").alias("label"), (F.min("component") != F.max("component")).cast("int").alias("mixed"), F.max("score").alias("score"))
-        again = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").join(whole, "group_id")
-        open_ = written(_candidates(again, percent, True, leaders).select("a", "b").distinct().join(examined, ["a", "b"], "left_anti"), "shingle-candidates-again")
-        examined = examined.unionByName(open_)
-        open_ = written(_verified(open_, heads.transform(_only(open_)), percent, possible).distinct(), "shingle-pairs")
-        pairs = pairs.unionByName(open_)
-        open_ = open_ if leaders else pairs.unionByName(inside).distinct()
-        keep = F.col("x_component") != F.col("y_component")
-        two = _expanded(open_, labelled.select("group_id", "rep", "component"), lead & keep if leaders else keep)
-        two = written(two.join(tried, ["a", "b"], "left_anti"), "shingle-pairs")
-        more = written(_verified(two, written(_sets(docs, _only(two), width), "shingle-sets"), percent), "shingle-links")
-        tried = tried.unionByName(two)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            parts = written(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "shingle-parts")
-    # a class's least doc_id stands for it; rows without a set stand alone
-    ids = same.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = signed.where("n > 0 and doc_id is not null").select("doc_id", "digest")
+    twice = written(own.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("doc_id"), "shingle-twice", 1)
+
+    def of_one_id(classes: DataFrame) -> DataFrame:
+        """Links between the classes that rows of one doc_id are in."""
+        named = own.join(twice, "doc_id", "left_semi").join(classes.select("class", "digest"), "digest").select("doc_id", "class")
+        return named.join(named.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").where("class != a").select("a", F.col("class").alias("b")).distinct()
+
+    repeated = twice.limit(1).count() > 0
+    found = written(class_components(docs, signed, width, percent, of_one_id if repeated else None), "shingle-components")
+    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = found.join(least, "component").select("digest", "component_id")
+    empty = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = signed.where("n > 0 and doc_id is not null").join(ids, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    if repeated:  # an empty text of an id that has other texts is of their component
+        known = full.join(twice.unionByName(empty.select("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+        empty = empty.join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id"))
+    return full.unionByName(empty)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,6 +404,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document of the smallest doc_id (five-word shingles, Jaccard similarity of 0.8 or more)."""
-    kept = similar_components(docs, width=5, percent=80).where("component_id = doc_id or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """Pipeline stage: of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) one row, that of the smallest
+    doc_id, then of the smallest hash of the text; rows without doc_id come last and yield to any with one. Of rows that agree in doc_id and
+    text one stays. Rows without words are no copies of one another and stay."""
+    id_, text = docs["doc_id"], docs["text"].cast("string")
+    rows = docs.select(id_.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    keys = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().cast("long").alias("without"), "text_hash", "text")
+    width, percent = 5, 80
+    signed = written(signatures(keys, frequent_shingles(keys, width), width, percent, ("id_", "without", "text_hash")), "shingle-signatures")
+    # class_components finds one document of a class by doc_id (and set): rows without one are found by the hash of their text
+    found_by = signed.withColumn("doc_id", F.when(F.col("without") > 0, F.col("text_hash")).otherwise(F.col("id_")))
+    by_text = written(class_components(rows.select(F.coalesce("doc_id", "text_hash").alias("doc_id"), "text"), found_by, width, percent).select("digest", "component"), "shingle-components")
+    mine = F.struct("without", "id_", "text_hash")
+    full = signed.where("n > 0").join(by_text, "digest").select("component", mine.alias("own"))
+    best = full.groupBy("component").agg(F.min("own").alias("best"))
+    gone = written(full.join(best, "component").where("own != best").select("own.*").distinct(), "shingle-losers")
+    again = written(signed.where("n > 0").groupBy("without", "id_", "text_hash").count().where("count > 1").drop("count").join(gone, ["without", "id_", "text_hash"], "left_anti"), "shingle-repeats")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df.hint("merge")
+
+    def matches(df: DataFrame, side: DataFrame) -> Column:
+        return (F.coalesce(df["doc_id"].cast("long"), F.lit(0)) == side["id_"]) & (df["doc_id"].isNull().cast("long") == side["without"]) & (F.xxhash64(df["text"].cast("string")) == side["text_hash"])
+
+    lost = small(gone)
+    kept = docs.join(lost, matches(docs, lost), "left_anti")
+    if again.limit(1).count():
+        twice = small(again)
+        name = free_name(docs, "text_hash")
+        once = kept.join(twice, matches(kept, twice), "left_semi").withColumn(name, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", name]).drop(name)
+        kept = kept.join(twice, matches(kept, twice), "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

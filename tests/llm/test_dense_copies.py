@@ -39,3 +39,31 @@ def test_leaders_lose_no_link(spark, monkeypatch, width, percent):
     rows = _copies(1)
     got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
     assert {r.doc_id: r.component_id for r in got} == _brute_force(rows, width, percent)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_of_each_group_one_row_stays(spark, monkeypatch, seed):
+    for name, value in (("SMALL", 4), ("MORE_LEADERS", 2), ("BLOCK", 64), ("FREQUENT_FROM", 6), ("IN_CHUNK", 2), ("LARGE", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = [t for _, t in _copies(seed)]
+    ids = [None if i % 9 == 0 else i // 2 * 2 for i in range(len(texts))]  # some without an id, some of one id
+    rows = [(i, t, "x", k % 2) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [*rows[3:6], (5, texts[7], "x", 1), (None, texts[7], "x", 0), (7, "", "x", 0), (7, "", "x", 0), (None, None, "x", 0)]
+    group = _brute_force([(k, r[1] or "") for k, r in enumerate(rows)], 5, 80)
+    want = []
+    for g in sorted({group[k] for k, r in enumerate(rows) if r[1]}):
+        want.append(min((r[0] is None, r[0] or 0) for k, r in enumerate(rows) if r[1] and group[k] == g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, text_hash int")
+    got = jaccard.one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.text) == sorted(want)
+    assert sorted((r.doc_id, r.text) for r in got if not r.text and r.doc_id) == [(7, ""), (7, "")] and any(r.text is None for r in got)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (5, " ".join([*words, "end"])), (5, " ".join(reversed(words))), (9, " ".join(reversed(words))), (9, None), (4, ""), (None, " ".join(words))]
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got if r.component_id) == [(1, 1), (4, 4), (5, 1), (5, 1), (9, 1), (9, 1)]
+    assert jaccard.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -97,8 +97,10 @@ def test_jaccard_prefixes_never_lose_a_pair():
         frequent = np.sort(rng.choice(base, 20, replace=False))
         if not jaccard.similar(a, b, 90):
             continue
-        p = [np.r_[np.array([len(x), r], dtype=np.uint64), o[: jaccard.prefix_size(len(x), 90)]] for x in (a, b) for o, r in (jaccard.in_order(x, frequent),)]
-        assert jaccard.possible(*p, 90) and len(np.intersect1d(p[0][2:], p[1][2:]))
+        p = [o[: jaccard.prefix_size(len(x), 90)] for x in (a, b) for o, r in (jaccard.in_order(x, frequent),)]
+        assert jaccard.possible(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b), 90) and len(np.intersect1d(*p))
+    far = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (60, 62, 130)]
+    assert not any(jaccard.possible(jaccard.sketch(x), len(x), jaccard.sketch(y), len(y), 90) for x in far for y in far if x is not y)
 
 
 def test_similar_components_edges(spark):
