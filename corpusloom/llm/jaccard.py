@@ -44,7 +44,7 @@ IN_CHUNK, FREQUENT_FROM = 3, 40
 #: Groups that share an element and are compared all with all, and parts that the postings of a frequent element are dealt to.
 SMALL, SALTS = 32, 64
 #: Leaders of a stretch of sizes in the first and in the second round; pairs that are made at a time; pairs that one set is compared in.
-LEADERS, MORE_LEADERS, BLOCK, CHUNK = 4, 8, 1 << 17, 128
+LEADERS, MORE_LEADERS, BLOCK, CHUNK = 2, 8, 1 << 17, 128
 #: Groups of more members send their leads alone in the first round.
 LARGE = 8
 BROADCAST_IDS = 1_000_000
@@ -215,10 +215,10 @@ def _allows(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")).cast("long")
 
 
-def _sides(df: DataFrame, side: str, near: bool = False) -> DataFrame:
-    """Columns with a side's mark; `near`: a row for its own stretch of sizes and for either neighbour, which hold all similar sizes."""
+def _sides(df: DataFrame, side: str, near: tuple[int, ...] = ()) -> DataFrame:
+    """Columns with a side's mark; `near`: a row for each stretch of sizes that far from its own. All similar sizes are in (-1, 0, 1)."""
     if near:
-        df = df.withColumn("stretch", F.explode(F.array(*(F.col("stretch") + k for k in (-1, 0, 1)))))
+        df = df.withColumn("stretch", F.explode(F.array(*(F.col("stretch") + k for k in near))))
     return df.select(*(c if c in ("element", "stretch") else F.col(c).alias(f"{side}_{c}") for c in df.columns))
 
 
@@ -226,12 +226,12 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _with_leaders(dense: DataFrame, leaders: int, apart: Column, percent: int) -> DataFrame:
+def _with_leaders(dense: DataFrame, leaders: int, near: tuple[int, ...], apart: Column, percent: int) -> DataFrame:
     """Pairs of groups: each posting of a dense element (with `score`) with the leaders of its element that have about its size."""
     bucket = F.pmod(F.xxhash64("group_id"), F.lit(leaders))
     best = F.max(F.struct("score", *(c for c in dense.columns if c not in ("score", "element", "stretch"))))
     heads = dense.groupBy("element", "stretch", bucket.alias("bucket")).agg(best.alias("r")).select("element", "stretch", "r.*").drop("score")
-    found = _sides(dense.drop("score"), "x").join(_sides(heads, "y", near=True), ["element", "stretch"])
+    found = _sides(dense.drop("score"), "x").join(_sides(heads, "y", near), ["element", "stretch"])
     return found.where((F.col("x_group_id") != F.col("y_group_id")) & apart & _allows(percent)).select(*_pair("x_group_id", "y_group_id")).distinct()
 
 
@@ -241,7 +241,7 @@ def _between(dense: DataFrame, apart: Column, percent: int) -> DataFrame:
     sizes = dense.where("mixed = 0").groupBy("element", "label").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("element").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     rows = dense.join(largest, "element", "left").withColumn("inside", (F.col("mixed") == 0) & F.coalesce(F.col("label") == F.col("main"), F.lit(False))).drop("main")
-    found = _sides(rows.where("not inside"), "x").join(_sides(rows, "y", near=True), ["element", "stretch"])
+    found = _sides(rows.where("not inside"), "x").join(_sides(rows, "y", (-1, 0, 1)), ["element", "stretch"])
     once = F.col("y_inside") | (F.col("x_group_id") < F.col("y_group_id"))
     return found.where(once & (F.col("x_group_id") != F.col("y_group_id")) & apart & _allows(percent)).select(*_pair("x_group_id", "y_group_id")).distinct()
 
@@ -341,7 +341,7 @@ def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: in
         return fresh, written(_verified(fresh, _sets(docs, fresh, classes, width), percent), "shingle-links")
 
     inside = members.where("members > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b")).distinct()
-    started = _with_leaders(dense.withColumn("score", F.xxhash64("group_id", F.lit(1))), LEADERS, F.lit(True), percent)
+    started = _with_leaders(dense.withColumn("score", F.xxhash64("group_id", F.lit(1))), LEADERS, (0, 1), F.lit(True), percent)
     pairs = first.where("kind = 0").select("a", "b").distinct().unionByName(started)
     few = (F.col("x_members") <= LARGE) & (F.col("y_members") <= LARGE)
     lead = (F.col("x_class") == F.col("x_group_id")) & (F.col("y_class") == F.col("y_group_id"))
@@ -358,7 +358,7 @@ def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: in
         apart = (F.col("x_label") != F.col("y_label")) | (F.col("x_mixed") > 0) | (F.col("y_mixed") > 0)
         keep = F.col("x_component") != F.col("y_component")
         if leaders:
-            open_ = _expanded(_with_leaders(rows, leaders, apart, percent), labelled.select("group_id", "class", "component"), lead & keep)
+            open_ = _expanded(_with_leaders(rows, leaders, (-1, 0, 1), apart, percent), labelled.select("group_id", "class", "component"), lead & keep)
         else:  # of large groups, pairs of the first round went by their leads alone
             small = first.where("kind = 0").select("a", "b").unionByName(inside)
             small = small.join(labelled.where(F.col("members") > 1).select(F.col("group_id").alias("g")).distinct(), (F.col("a") == F.col("g")) | (F.col("b") == F.col("g")), "left_semi") if members.where(F.col("members") > LARGE).limit(1).count() else inside
