@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
-
-SCHEMA = "cell int, payload binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one binary. Integers of 4 and 8 bytes go by the weight of their bytes: the high bytes of small values compress to nothing."""
     import zstandard
 
     head = np.array([len(arrays), *(v for a in arrays for v in (np.dtype(a.dtype).num, len(a)))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(_planes(a).tobytes() for a in arrays))
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
@@ -26,7 +24,8 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     at, out = 8 * (1 + 2 * n), []
     for num, length in head.reshape(n, 2).tolist():
         kind = _KINDS[num]
-        out.append(np.frombuffer(raw, dtype=kind, count=length, offset=at))
+        flat = np.frombuffer(raw, dtype=np.uint8, count=length * kind.itemsize, offset=at)
+        out.append(np.ascontiguousarray(flat.reshape(kind.itemsize, length).T).view(kind).ravel() if _wide(kind) else flat.view(kind))
         at += length * kind.itemsize
     return out
 
@@ -34,9 +33,24 @@ def unpack(payload: bytes) -> list[np.ndarray]:
 _KINDS = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.int16, np.uint16, np.int32, np.uint32, np.int64, np.uint64, np.float32, np.float64)}
 
 
+def _wide(kind: np.dtype) -> bool:
+    return kind.kind in "iu" and kind.itemsize >= 4
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    a = np.ascontiguousarray(a)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T) if _wide(a.dtype) and len(a) else a
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Values from 0 on in the fewest bytes that hold them."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
 def by_cell(cells: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(cell, places in `cells`) for each cell that occurs."""
-    order = np.argsort(cells, kind="stable")
+    order = np.argsort(cells.astype(np.uint16) if n <= 1 << 16 else cells, kind="stable")
     ends = np.searchsorted(cells[order], np.arange(n + 1))
     for c in np.flatnonzero(np.diff(ends)).tolist():
         yield c, order[ends[c] : ends[c + 1]]
@@ -52,19 +66,16 @@ def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(len(run)) - offsets(lengths)[:-1][run]
 
 
-def gathered(packed: DataFrame, cells: int, reduce: Callable[[list[list[np.ndarray]]], Iterator], schema: str) -> DataFrame:
-    """reduce() over the payloads of each cell; it yields record batches. A partition holds one cell at a time."""
-
-    def run(batches: Iterator) -> Iterator:
-        cell, held = None, []
-        for b in batches:
-            for c, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if c != cell and held:
-                    yield from reduce(held)
-                    held = []
-                cell = c
-                held.append(unpack(payload))
-        if held:
-            yield from reduce(held)
-
-    return packed.repartition(cells, "cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+def keyed_rows(batches: Iterable, keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of batches that are sorted by their first `keys` columns; binaries are read a few rows at a time."""
+    key, rows = None, []
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns), strict=True):
+                if row[:keys] != key:
+                    if rows:
+                        yield key, rows  # type: ignore[misc]
+                    key, rows = row[:keys], []
+                rows.append(row)
+    if rows:
+        yield key, rows  # type: ignore[misc]
