@@ -22,6 +22,7 @@ into several chunks that know the words before them; an empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 CHUNK, TOKENS, CELL_BYTES = 4_000_000, 1_000_000, 2_500_000
 #: A context that at least so many tokens follow is heavy, unless over MOST_HEAVY were.
 HEAVY_FROM, MOST_HEAVY = 100_000, 100_000
+#: Times that chunks go through the trigrams, each for a part of the cells, so that no more than a part is on its way at once.
+PASSES = 2
 SENT = "chunk long, cell int, kind int, payload binary"
 #: Kinds of rows: a chunk's tokens, what it asks, what it is told by words, bigrams and trigrams, and what a cell tells all.
 BODY, ASKED, WORDS, PAIRS, TRIPLES, ALL = range(6)
@@ -129,11 +132,14 @@ def _cut(batches: Iterator, cells: int) -> Iterator:
             rank[order] = np.arange(len(order))
             words, times, learned, local = words[order], times[order], learned[order], rank[local]
             own = [ids[k] for k in pieces.tolist()]
+            asked = list(_word_cells(words, cells))
+            place = np.empty(len(words), dtype=np.int64)  # of each word among what the cells answer, a cell after the other
+            place[np.concatenate([k for _, k in asked])] = np.arange(len(words))
             out = [(number, -1, BODY, pack(
                 np.array([rows[k] for k in pieces.tolist()], dtype=np.int64), np.array([k or 0 for k in own], dtype=np.int64), np.array([k is None for k in own], dtype=np.uint8),
-                np.array(train, dtype=np.uint8)[pieces], narrow(at[lo : lo + 1].astype(np.int64)), narrow(n), words, local.astype(np.uint32),
+                np.array(train, dtype=np.uint8)[pieces], narrow(at[lo : lo + 1].astype(np.int64)), narrow(n), narrow(place), np.flatnonzero(words == END), local.astype(np.uint32),
             ))]
-            out += [(number, c, ASKED, pack(words[k], narrow(learned[k]), narrow(times[k]))) for c, k in _word_cells(words, cells)]
+            out += [(number, c, ASKED, pack(words[k], narrow(learned[k]), narrow(times[k]))) for c, k in asked]
             yield _rows(out)
             number += 1
 
@@ -152,19 +158,17 @@ class _Chunk:
         answers: dict[int, list] = {k: [] for k in (WORDS, PAIRS, TRIPLES)}
         for _, cell, kind, payload in told:
             if kind == BODY:
-                self.rows, self.ids, self.nulls, self.train, (begun,), self.n, words, self.local = unpack(payload)
+                self.rows, self.ids, self.nulls, self.train, (begun,), self.n, place, end, self.local = unpack(payload)
             else:
                 answers[kind].append((cell, payload))
         self.cells, self.heavy, self.answers = cells, heavy, {k: [unpack(p) for _, p in sorted(x, key=lambda r: r[0])] for k, x in answers.items()}
         self.total, self.mass = n, n + v + 1
         # words: in order of their numbers from now on
-        number, count = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
-        for (_, k), (numbers, counts) in zip(_word_cells(words, cells), self.answers[WORDS], strict=True):
-            number[k], count[k] = numbers, counts
+        number, count = (np.concatenate(x).astype(np.int64)[place] for x in zip(*self.answers[WORDS], strict=True))
         order = np.argsort(number)
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.number, self.count, self.end = number[order], count[order], int(rank[np.flatnonzero(words == END)[0]]) if (words == END).any() else -1
+        self.number, self.count, self.end = number[order], count[order], int(rank[end[0]]) if len(end) else -1
         tok = rank[self.local]
         self.doc, place = spread(self.n.astype(np.int64))
         self.first = place + np.where(self.doc == 0, int(begun), 0) == 0  # begins a text
@@ -249,13 +253,15 @@ class _Chunk:
             out[some[ok]] = order[at[ok]]
         return out
 
-    def ask_trigrams(self) -> Iterator[tuple[int, bytes]]:
+    def ask_trigrams(self, turn: int) -> Iterator[tuple[int, bytes]]:
+        """What is asked of every PASSES-th cell."""
         learned = np.bincount(self.triple[self.taught], minlength=len(self.triple_pair))
         u, v = self._context_words()
         w = self.number[self.pair_last[self.triple_pair]]
         pair, total = self.pair_count[self.triple_pair], self.count[self.pair_first[self.triple_pair]]
         for c, k in self.trigrams_asked():
-            yield c, pack(narrow(u[k]), narrow(v[k]), narrow(w[k]), narrow(learned[k]), narrow(pair[k]), narrow(total[k]))
+            if c % PASSES == turn:
+                yield c, pack(narrow(u[k]), narrow(v[k]), narrow(w[k]), narrow(learned[k]), narrow(pair[k]), narrow(total[k]))
 
     def tell_trigrams(self, d3: np.ndarray) -> np.ndarray:
         """log10 P of each distinct trigram."""
@@ -463,12 +469,14 @@ def _evaluated(docs: DataFrame) -> DataFrame:
         heavy = heavy | {"pair_first": bu, "pair_last": bv}
 
     # trigrams
-    def ask_trigrams(told: list[tuple]) -> Iterator:
+    def ask_trigrams(told: list[tuple], turn: int) -> Iterator:
         chunk = _Chunk(told, cells, heavy, n, v)
         chunk.tell_bigrams(d2)
-        yield _rows([(told[0][0], c, ASKED, p) for c, p in chunk.ask_trigrams()])
+        yield _rows([(told[0][0], c, ASKED, p) for c, p in chunk.ask_trigrams(turn)])
 
-    third = written(_in_cells(_in_chunks(first.unionByName(second), parts, ask_trigrams, SENT), lambda c, r: _count_trigrams(c, r, heavy, d2), parts), "katz-trigrams")
+    passes = [_in_chunks(first.unionByName(second), parts, lambda told, turn=turn: ask_trigrams(told, turn), SENT) for turn in range(PASSES)]
+    passes = [written(_in_cells(asked, lambda c, r: _count_trigrams(c, r, heavy, d2), parts), "katz-trigrams") for asked in passes]
+    third = reduce(DataFrame.unionByName, passes)
     totals, hu, hv, *sums = _told_all(third, lambda x: [sum(p[0] for p in x), *_merged([p[1:] for p in x], 2)]) or [np.zeros(_STATS), *[none] * (_STATS + 3)]
     d3 = discounts(totals.tolist())
     weights = np.zeros(len(heavy["pair_first"]))
