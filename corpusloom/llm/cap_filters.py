@@ -25,6 +25,8 @@ from corpusloom.llm.common import table, written
 from corpusloom.llm.graph import components
 
 THRESHOLD = 0.95
+#: Different lengths that the vectors of a table may have: each needs codes of its own, and a row at the driver.
+LENGTHS = 10_000
 #: Filters that a random vector exceeds on average, and those it gets at least; both grow alike where RECALL asks for more.
 FILTERS, LEAST_FILTERS = 16, 8
 #: Share of trial pairs at the threshold that a filter has to hold; from MOST_FILTERS on, wider filters make up for it.
@@ -32,6 +34,8 @@ RECALL, TRIALS, MOST_FILTERS = 0.985, 2_000, 256
 #: Unrelated vectors that a filter holds on average.
 IN_FILTER = 6
 BLOCK = 512
+#: Vectors of a filter that is compared together with others.
+FEW = 48
 
 
 def _tail(dim: int, p: float) -> float:
@@ -109,26 +113,12 @@ def fitted(dim: int, vectors: int, threshold: float) -> dict[str, int]:
     return {"filters": filters, "in_filter": in_filter}
 
 
-def unit(embeddings: list) -> np.ndarray:
-    x = np.array(embeddings, dtype=np.float64)
+def unit(embeddings: np.ndarray) -> np.ndarray:
+    x = np.asarray(embeddings, dtype=np.float64)
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _groups(batches: Iterator, columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of sorted batches by their first three columns."""
-    key, rows = None, []
-    for b in batches:
-        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
-            if row[:3] != key:
-                if len(rows) > 1:
-                    yield key, rows  # type: ignore[misc]
-                key, rows = row[:3], []
-            rows.append(row)
-    if len(rows) > 1:
-        yield key, rows  # type: ignore[misc]
-
-
 def _shared(a: list[np.ndarray], b: list[np.ndarray], below: int) -> np.ndarray:
     """Whether two vectors share a filter under `below`."""
     fa, fb = np.concatenate(a), np.concatenate(b)
@@ -144,13 +134,52 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], below: int) -> np.ndarray:
     return mark[0] @ mark[1].T > 0
 
 
-def _compare(key: tuple, rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
+class _Rows:
+    """Rows of sorted batches as arrays: the unit (filter, i, j), the vector's part, class, weight, components and filters."""
+
+    def __init__(self, batch):  # noqa: ANN001
+        self.filter, self.i, self.j, self.part, self.id, self.weight = (batch.column(k).to_numpy() for k in range(6))
+        self.x, self.at = _flat(batch.column(6))
+        self.filters, self.filters_at = _flat(batch.column(7))
+
+    def own(self, k: int) -> np.ndarray:
+        return self.filters[self.filters_at[k] : self.filters_at[k + 1]]
+
+    def units(self) -> list[tuple[int, int]]:
+        new = np.r_[True, (self.filter[1:] != self.filter[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])]
+        at = np.append(np.flatnonzero(new), len(self.filter))
+        return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        """Unit vectors of rows of one length."""
+        d = self.at[rows[0] + 1] - self.at[rows[0]]
+        return unit(self.x[self.at[rows][:, None] + np.arange(d)[None, :]])
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Values of an Arrow list column without nulls, and where each row's begin."""
+    lengths = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _small(rows: _Rows, units: list[tuple[int, int]], threshold: float) -> list[tuple[int, int, int]]:
+    """(class, links, other class) for either side of each link that counts in one of these units, which are whole filters of one size and dimension."""
+    lo, m = np.array([u[0] for u in units]), units[0][1] - units[0][0]
+    x = rows.matrix((lo[:, None] + np.arange(m)[None, :]).ravel()).reshape(len(lo), m, -1)
+    k, a, b = np.nonzero(np.triu(x @ x.transpose(0, 2, 1) >= threshold, 1))
+    out = []
+    for f, p, q in zip(rows.filter[lo[k]].tolist(), (lo[k] + a).tolist(), (lo[k] + b).tolist(), strict=True):
+        fp, fq = rows.own(p), rows.own(q)
+        if not np.isin(fp[: np.searchsorted(fp, f)], fq, assume_unique=True).any():  # the first filter that they share
+            out += [(int(rows.id[p]), int(rows.weight[q]), int(rows.id[q])), (int(rows.id[q]), int(rows.weight[p]), int(rows.id[p]))]
+    return out
+
+
+def _compare(rows: _Rows, lo: int, hi: int, threshold: float) -> list[tuple[int, int, int]]:
     """(class, links to vectors of other classes that count here, least class of its part here) for each class with a link."""
-    f, i, j = key
-    x = unit([r[6] for r in rows])
-    ids, weight = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    side = np.array([r[3] for r in rows])
-    filters = [np.array(r[7], dtype=np.int64) for r in rows]
+    f, i, j = int(rows.filter[lo]), int(rows.i[lo]), int(rows.j[lo])
+    x = rows.matrix(np.arange(lo, hi))
+    ids, weight, side = rows.id[lo:hi], rows.weight[lo:hi], rows.part[lo:hi]
     a = np.flatnonzero(side == i)
     b = a if i == j else np.flatnonzero(side == j)
     if not len(a) or not len(b):
@@ -160,8 +189,9 @@ def _compare(key: tuple, rows: list[tuple], threshold: float) -> list[tuple[int,
         np.fill_diagonal(hit, False)
     if not hit.any():
         return []
+    filters = [rows.own(k) for k in range(lo, hi)]
     new = hit & ~_shared([filters[k] for k in a], [filters[k] for k in b], f)
-    links = np.zeros(len(rows), dtype=np.int64)
+    links = np.zeros(hi - lo, dtype=np.int64)
     links[a] += new @ weight[b]
     if i != j:
         links[b] += new.T @ weight[a]
@@ -173,49 +203,81 @@ def _compare(key: tuple, rows: list[tuple], threshold: float) -> list[tuple[int,
         label[b] = np.minimum(label[b], np.where(hit, label[a][:, None], big).min(axis=0))
         if (label == before).all():
             break
-    linked = np.zeros(len(rows), dtype=bool)
+    linked = np.zeros(hi - lo, dtype=bool)
     linked[a] |= hit.any(axis=1)
     linked[b] |= hit.any(axis=0)
     return [(int(ids[k]), int(links[k]), int(label[k])) for k in np.flatnonzero(linked)]
 
 
+def _linked(rows: _Rows, threshold: float) -> list[tuple[int, int, int]]:
+    """What all units of some rows give; whole filters of a few vectors are multiplied together, those of one size at a time."""
+    out: list[tuple[int, int, int]] = []
+    few: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for lo, hi in rows.units():
+        if hi - lo > FEW or rows.i[lo] != rows.j[lo]:
+            out += _compare(rows, lo, hi, threshold)
+        elif hi - lo > 1:
+            few.setdefault((hi - lo, int(rows.at[lo + 1] - rows.at[lo])), []).append((lo, hi))
+    for (m, d), units in few.items():
+        step = max(1, (1 << 19) // (m * max(m, d)))
+        for k in range(0, len(units), step):
+            out += _small(rows, units[k : k + step], threshold)
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors` (vec_id, embedding)."""
     e = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    good = rows.where("fine").drop("fine").withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))  # -0.0 is 0.0
+    kept = e if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else e.cast("array<double>")  # as short as they came
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), kept.alias("embedding")).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    good = rows.where("fine").drop("fine").withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0).cast(kind[6:-1])))  # -0.0 is 0.0
     classes = written(good.groupBy("embedding").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("weight")), "vector-classes")
-    sizes = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
+    sizes = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(LENGTHS + 1).collect()}
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors have more than {LENGTHS} different lengths")
     fits = {d: fitted(d, n, threshold) for d, n in sizes.items()}
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         made: dict[int, CapFilters] = {}
-        for b in batches:
-            ids, weights, vectors_ = (b.column(k).to_pylist() for k in range(3))
-            for d in {len(v) for v in vectors_}:
-                at = [k for k, v in enumerate(vectors_) if len(v) == d]
-                f = made.setdefault(d, CapFilters(d, sizes[d], **fits[d]))
-                for lo in range(0, len(at), f.step):
-                    part = at[lo : lo + f.step]
-                    found = f.decode(unit([vectors_[k] for k in part]))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in part], pa.int64()), pa.array([weights[k] for k in part], pa.int64()), pa.array([vectors_[k] for k in part], pa.list_(pa.float64())), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["class", "weight", "embedding", "filters"])
-
-    decoded = written(classes.select("class", "weight", "embedding").mapInArrow(decode, "class long, weight long, embedding array<double>, filters array<long>"), "vector-filters")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4_096):
+                b = batch.slice(lo, 4_096)
+                x, at = _flat(b.column(2))
+                lengths = np.diff(at)
+                for d in np.unique(lengths).tolist():
+                    some = np.flatnonzero(lengths == d)
+                    f = made.setdefault(d, CapFilters(d, sizes[d], **fits[d]))
+                    for k in range(0, len(some), f.step):
+                        part = some[k : k + f.step]
+                        found = f.decode(unit(x[at[part][:, None] + np.arange(d)[None, :]]))
+                        ends = np.concatenate([[0], np.cumsum([len(v) for v in found])]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(part)) for c in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["class", "weight", "embedding", "filters"])
+
+    decoded = written(classes.select("class", "weight", "embedding").mapInArrow(decode, f"class long, weight long, embedding {kind}, filters array<long>"), "vector-filters")
     held = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count().where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     placed = decoded.select(F.explode("filters").alias("filter"), "class", "weight", "embedding", "filters").join(held, "filter")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "weight", "embedding", "filters")
-    columns = placed.columns
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for key, unit_rows in _groups(batches, columns):
-            if found := _compare(key, unit_rows, threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["class", "links", "label"])
+        held = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2_048):
+                part = batch.slice(lo, 2_048)
+                held = part if held is None else pa.concat_batches([held, part])
+                last = _Rows(held).units()[-1][0]  # this unit may go on
+                if last:
+                    if found := _linked(_Rows(held.slice(0, last)), threshold):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["class", "links", "label"])
+                    held = held.slice(last)
+        if held is not None and (found := _linked(_Rows(held), threshold)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["class", "links", "label"])
 
     found = written(placed.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j").mapInArrow(compare, "class long, links long, label long"), "vector-links")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
