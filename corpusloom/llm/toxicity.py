@@ -7,7 +7,11 @@ swap of neighbours is one edit), run down the trie together with it. Words that
 never match by edits. A hit weighs its log-odds times a context score of the words around it: quotation marks and words of reporting lower it,
 address in the second person raises it. The score is a logistic function, fitted on the sample, of the log of the summed weights.
 
-Edge cases: null and empty texts have no hits; without labelled rows of both classes the lexicon is empty and scores are the prior's.
+What is learned is bounded by the sample alone: all its words that pass the tests are kept.
+
+Edge cases: null and empty texts have no hits; without labelled rows of both classes (empty tables too) the lexicon is empty and scores are the
+prior's; very long texts are scored whole, one at a time; repeated rows get equal scores and count once in the sample; a null doc_id is scored, never
+learned from, and has a null held_out; labels of one doc_id that contradict one another count as the lower; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import rolling, table, text_chunks, words_of, written
+from corpusloom.llm.common import _BASE, _BASE_INVERSE, _power, mix, rolling, table, text_chunks, words_of, written
 from corpusloom.llm.quality import labelled_sample, training_fold
 
 MAX_TRAINING_ROWS = 20_000
@@ -29,12 +33,12 @@ MAX_TRAINING_ROWS = 20_000
 LEAST_RATIO = 18.0
 #: A term whose lookalikes are clean words more often than this matches no misspellings.
 LEAST_TRUST = 0.4
-MAX_TERMS, MAX_STEMS, MAX_VETOES = 2_000, 200, 20_000
 TOXIC_AT = 0.5
 WINDOW = 6
 CACHED = 300_000
 _EDGE = " \t.,;:!?*#$%&|\"'`´‘’“”«»„()[]{}<>-–—…¡¿"
-_QUOTES_OPEN, _QUOTES_CLOSE = frozenset("\"'“„«‘"), frozenset("\"'”“»’")
+#: Marks that begin a quotation, and those that end what each begins. The apostrophe is none: it also stands for letters left out.
+_QUOTES = {'"': frozenset('"'), "“": frozenset("”"), "„": frozenset("“”"), "«": frozenset("»"), "»": frozenset("«"), "‘": frozenset("’")}
 _REPORTING = frozenset("said says wrote writes quoted quote called calls term word dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 _ADDRESS = frozenset("you your you're u du dich dir tu te toi vous usted tú".split())
 
@@ -60,6 +64,23 @@ def step(reads: dict[str, int], state: tuple[int, ...], c: str, before: tuple[in
     return tuple(out)
 
 
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of hashes up to each letter of all words, where each word begins, and its length."""
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(mix(points + np.uint64(1)) * _power(_BASE, len(points)), out=sums[1:])
+    return sums, np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64) if len(words) else length, length
+
+
+def _substrings(letters: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the `size` letters at `at` of each word that has them."""
+    sums, begin, length = letters
+    rows = np.flatnonzero(length >= at + size)
+    lo = begin[rows] + at[rows]
+    return rows, (sums[lo + size] - sums[lo]) * _power(_BASE_INVERSE, len(sums))[lo]
+
+
 @dataclass
 class Lexicon:
     """A trie of the terms, stems by their length, and for each term the share of its weight that a misspelling carries."""
@@ -93,6 +114,13 @@ class Lexicon:
         self._pieces = [(at, at + size, of.get) for (at, size), of in sorted(pieces.items())]
         self._shortest, self._longest = min((len(t) - self.allowed(t) for t in self.terms), default=0), max(map(len, self.terms), default=-9) + 2
         self._stem_sizes = sorted({len(x) for x in self.stems})
+        seen: dict[tuple[int, int], set[str]] = {}  # by place and size, what a word that matches may have there
+        for (at, size), of in pieces.items():
+            seen.setdefault((at, size), set()).update(of)
+        for whole in (*self.terms, *self.stems):
+            seen.setdefault((0, len(whole)), set()).add(whole)
+        self._seen = [(at, size, np.sort(_substrings(_letters(list(of)), np.zeros(len(of), dtype=np.int64), size)[1])) for (at, size), of in sorted(seen.items())]
+        self._seen = [(at, size, known) for at, size, known in self._seen if len(known)]
 
     @staticmethod
     def allowed(term: str) -> int:
@@ -120,6 +148,17 @@ class Lexicon:
                     stack.append((below, now, state, c))
         return found
 
+    def candidates(self, raw: list[str]) -> list[str]:
+        """Of words as they stand, those that can match: with a term, stem or piece where it has to be. All words at a time, by hashes."""
+        bare = [w.strip(_EDGE) for w in raw]
+        letters = _letters(bare)
+        ok = np.zeros(len(raw), dtype=bool)
+        for at, size, known in self._seen:
+            rows, hashes = _substrings(letters, np.full(len(raw), at, dtype=np.int64), size)
+            near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            ok[rows[known[near] == hashes]] = True
+        return [raw[k] for k in np.flatnonzero(ok).tolist()]
+
     def misspelt(self, word: str) -> tuple[str, int] | None:
         """The heaviest term that `word` may be a misspelling of, and the edits."""
         if not max(3, self._shortest) <= len(word) <= self._longest or not (edits := self._tries(word)):
@@ -151,20 +190,23 @@ class Scorer:
     def context(self, words: list[str], at: int) -> float:
         around = words[max(0, at - WINDOW) : at + WINDOW + 1]
         before, after = words[max(0, at - WINDOW) : at + 1], words[at : at + WINDOW + 1]
-        quoted = any(w[0] in _QUOTES_OPEN for w in before) and any(w.rstrip(".,;:!?")[-1:] in _QUOTES_CLOSE for w in after)
+        ends = {w.rstrip(".,;:!?")[-1:] for w in after}
+        quoted = any(not ends.isdisjoint(_QUOTES.get(w[0], ())) for w in before)
         bare = {w.strip(_EDGE) for w in around}
         factor = (0.3 if quoted else 1.0) * (0.6 if bare & _REPORTING else 1.0)
         return factor * (1.5 if bare & _ADDRESS else 1.0)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         split = [t.lower().split() for t in texts]
-        fresh = set().union(*split) - self._cache.keys()
+        words = set().union(*split)
+        fresh = words - self._cache.keys()
         if len(self._cache) + len(fresh) > CACHED:
             self._cache.clear()
-            fresh = set().union(*split)
-        match = self.lexicon.match
-        self._cache.update((w, match(w)) for w in fresh)
-        hits = {w for w in set().union(*split) if self._cache[w]}
+            fresh = words
+        match, new = self.lexicon.match, list(fresh)
+        self._cache.update(dict.fromkeys(new, 0.0))
+        self._cache.update((w, match(w)) for w in self.lexicon.candidates(new))
+        hits = {w for w in words if self._cache[w]}
         out = np.zeros(len(texts))
         for k, words in enumerate(split):
             if hits and not hits.isdisjoint(words):
@@ -219,11 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) ->
     share = toxic / (toxic + clean)
     ratio = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0)  # a likelihood ratio
     apart = lambda df: df.where((t > 0) & (c * 20 <= t)).withColumn("odds", odds).where(ratio >= LEAST_RATIO)
-    terms = {r.word: r.odds for r in apart(words.where(F.length("word") >= 3)).orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()}
+    terms = {r.word: r.odds for r in apart(words.where(F.length("word") >= 3)).collect()}
     heads = words.select(F.explode(F.transform(F.array(*map(F.lit, (4, 5, 6, 7, 8, 9))), lambda k: F.when(F.length("word") > k, F.col("word").substr(F.lit(1), k)))).alias("stem"), "toxic", "clean").where("stem is not null")
     heads = apart(heads.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("n"))).where("n >= 5").withColumn("ratio", ratio)
     stems: dict[str, float] = {}
-    for r in heads.orderBy(F.desc("ratio"), F.length("stem"), "stem").limit(MAX_STEMS).collect():
+    for r in heads.orderBy(F.desc("ratio"), F.length("stem"), "stem").collect():
         if not any(r.stem.startswith(s) or s.startswith(r.stem) for s in stems):
             stems[r.stem] = r.odds
     terms = {w: o for w, o in terms.items() if not any(w.startswith(s) for s in stems)}
@@ -236,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) ->
             found = [(w, x[0], t, c) for w, t, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if w not in plain.terms and (x := plain.misspelt(w))]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found, strict=True) if found else ((),) * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "term", "toxic", "clean"])
 
-    lookalikes = words.select("word", "toxic", "clean").mapInArrow(near, "word string, term string, toxic long, clean long").orderBy(F.desc("clean"), "word").limit(MAX_VETOES).collect()
+    lookalikes = words.select("word", "toxic", "clean").mapInArrow(near, "word string, term string, toxic long, clean long").collect()
     ours, theirs = Counter(r.term for r in lookalikes if not r.clean), Counter(r.term for r in lookalikes if r.clean)
     trust = {w: (ours[w] + 1) / (ours[w] + theirs[w] + 1) for w in terms}
     scorer = Scorer(Lexicon(terms, stems, frozenset(r.word for r in lookalikes if r.clean), trust), 1.0, 0.0)
