@@ -1,16 +1,17 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows get a 128-bit sort key: the 64-bit hash of the text, then a number that is written once with the row, so that any run of equal keys can
-be divided. The splitters between shards are found by counting exact bytes below candidate boundaries, all partitions at once: a round counts
-bytes in the buckets of the next key digits, but only where a splitter still lies inside, until each splitter is within the tolerance or at a
-single row. After that the rows are exchanged once. What reaches the driver in a round is bounded by (shards - 1) * 2**digit_bits rows.
-
-Law `bytes`: shard sizes differ by about the tolerance (a share of the ideal shard) or by the one row on a splitter. Equal texts are adjacent
-in key order, so that only a splitter divides them. Slots follow the key order, by input partition first inside a key prefix that holds over
-1/64 of all rows.
-
-Edge cases: null texts count 8 bytes and hash as empty ones; an empty table gives an empty result; repeated rows are rows of their own;
-columns of the input with other names are left alone (own helper columns start with `_hs_`).
+Rows get a 192-bit sort key: the 64-bit hash of the text, that of a tie column (doc_id), and a number that is written once with the row, so that
+any run of equal keys can be divided; the number tells apart only rows that are alike in both, so that the result doesn't hang on how the input was
+dealt. The splitters between shards are found by counting exact bytes below candidate boundaries, all partitions at once: a round counts bytes in the
+buckets of the next key digits, but only where a splitter still lies inside, until each splitter is within the tolerance, beside a group that stays
+whole, or at a single row. After that the rows are exchanged once. What reaches the driver in a round is bounded by (shards - 1) * 2**digit_bits rows.
+
+Law `bytes`: shard sizes differ by about the tolerance (a share of the ideal shard), by the one row on a splitter, or by a group of equal texts that
+holds at most `WHOLE` of the ideal shard: such a group is never divided. Larger groups are, as one may hold more than a shard. Slots follow the leading
+bits of the first two key words, then the whole key, at every size; the prefixes that hold over 1/64 of all rows are only numbered in smaller parts.
+
+Edge cases: null texts count 8 bytes and hash as empty ones; very long texts weigh what they weigh; an empty table gives an empty result; repeated
+rows are rows of their own; rows without doc_id are one value of the tie; columns of the input, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import free_name, table, written
 
 SHARDS = 24
 #: Share of the ideal shard's bytes by which a splitter may miss its target.
 TOLERANCE = 0.0005
-#: Bits of the two key words that a round resolves.
-DIGITS = (12, 13, 13, 13, 13)
+#: Share of the ideal shard up to which a group of equal keys stays whole.
+WHOLE = 0.05
+#: Bits of a key word that a round resolves, and of the second word that part rows for their slots.
+DIGITS, SECOND = (12, 13, 13, 13, 13), 8
+WORDS = 3
 
 
 def document_size(text: Column) -> Column:
@@ -44,69 +48,81 @@ def _prefix(word: Column, taken: int) -> Column:
     return F.shiftrightunsigned(ordered, 64 - taken)
 
 
-def _signed(ordered: int) -> int:
-    return ordered - 2**63
-
-
-def splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """Composite keys (word 1, word 2): the first row of each shard but the first. Fewer where there are too few rows."""
-    total = keyed.agg(F.sum("_hs_size")).first()[0] or 0
-    allowed = tolerance * total / shards
-    open_ = {k: (k * total / shards, 0, 0, 0) for k in range(1, shards)} if total else {}  # target, bytes below the prefix, the two prefixes
-    found: dict[int, tuple[int, int]] = {}
-    levels = [(w, sum(DIGITS[:i]), DIGITS[i]) for w in (0, 1) for i in range(len(DIGITS))]
-    for w, taken, bits in levels:
-        if not open_:
-            break
-        word, rows = F.col(f"_hs_k{w + 1}"), keyed
-        prefix = _prefix(word, taken) if taken else F.lit(0).cast("long")
-        if w:  # the first word is fixed by now
-            rows = rows.where(F.struct("_hs_k1", prefix.alias("p")).isin([F.struct(F.lit(_signed(a)).cast("long").alias("_hs_k1"), F.lit(b).cast("long").alias("p")) for a, b in {x[2:] for x in open_.values()}]))
-        elif taken:
-            rows = rows.where(prefix.isin([a for a in {x[2] for x in open_.values()}]))
-        first = F.col("_hs_k1").bitwiseXOR(F.lit(-(2**63)).cast("long")) if w else prefix
-        counted = rows.groupBy(first.alias("a"), (prefix if w else F.lit(0).cast("long")).alias("b"), _digit(word, taken, bits).alias("d")).agg(F.sum("_hs_size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        buckets: dict[tuple[int, int], list] = {}
-        for r in counted.collect():
-            buckets.setdefault((r.a % 2**64, r.b % 2**64) if w else (r.a, 0), []).append((r.d, r.bytes, r.n))
-        for k, (target, below, a, b) in list(open_.items()):
-            for d, size, n in sorted(buckets[(a, b)]):
-                if below + size > target or abs(below + size - target) <= allowed:
-                    break
-                below += size
-            near, far = target - below, below + size - target
-            bound = lambda value, a=a: (_signed(value << 64 - taken - bits), -(2**63)) if not w else (_signed(a), _signed(value << 64 - taken - bits))
-            p = (b if w else a) << bits | d
-            if min(abs(near), abs(far)) <= allowed or n == 1:
-                at = p if abs(near) <= abs(far) else p + 1
-                if at >> taken + bits:  # past the word's end
-                    found[k] = (_signed(a + 1), -(2**63)) if w and a + 1 < 2**64 else (2**63 - 1, 2**63 - 1)
+def _bound(key: int) -> tuple[int, ...]:
+    """The words of a key (an integer of 64 * WORDS bits) as signed values; those of the last key where it is past the end."""
+    key = min(key, 2 ** (64 * WORDS) - 1)
+    return tuple((key >> 64 * (WORDS - 1 - w)) % 2**64 - 2**63 for w in range(WORDS))
+
+
+def splitters(keyed: DataFrame, words: list[str], size: str, shards: int, tolerance: float, whole: float = WHOLE) -> list[tuple[int, ...]]:
+    """Keys of the first row of each shard but the first. Fewer where there are too few rows."""
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    ideal = total / shards
+    open_ = {k: (k * ideal, 0, 0) for k in range(1, shards)} if total else {}  # target, bytes below the prefix, the prefix of the whole key
+    found: dict[int, int] = {}
+    for w, word in enumerate(words):
+        for i, bits in enumerate(DIGITS):
+            if not open_:
+                break
+            taken = sum(DIGITS[:i])
+            prefixes = {p for _, _, p in open_.values()}
+            # of a prefix: the words before this one, which are fixed, and the bits of this one
+            at = F.struct(*(F.col(c) for c in words[:w]), (_prefix(F.col(word), taken) if taken else F.lit(0).cast("long")).alias("p"))
+            split = lambda p, w=w, taken=taken: (*((p >> taken + 64 * (w - 1 - j)) % 2**64 - 2**63 for j in range(w)), p % 2**taken)
+            wanted = {split(p): p for p in prefixes}
+            rows = keyed
+            if w or taken:
+                rows = rows.where(at.isin([F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(key, [*words[:w], "p"], strict=True))) for key in wanted]))
+            counted = rows.groupBy(at.alias("at"), _digit(F.col(word), taken, bits).alias("d")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n"))
+            buckets: dict[int, list] = {}
+            for r in counted.collect():
+                buckets.setdefault(wanted[tuple(r["at"])], []).append((r.d, r.bytes, r.n))
+            left = 64 * (WORDS - w) - taken - bits
+            for k, (target, below, p) in list(open_.items()):
+                for d, held, n in sorted(buckets[p]):
+                    if below + held > target or abs(below + held - target) <= tolerance * ideal:
+                        break
+                    below += held
+                near, far, p = abs(target - below), abs(below + held - target), p << bits | d
+                group = w == 0 and taken + bits == 64 and held <= whole * ideal
+                if min(near, far) <= tolerance * ideal or n == 1 or group:
+                    found[k] = (p if near <= far else p + 1) << left
+                    del open_[k]
                 else:
-                    found[k] = bound(at)
-                del open_[k]
-            else:
-                open_[k] = (target, below, a, p) if w else (target, below, p, 0)
-    for k, (_, _, a, b) in open_.items():
-        found[k] = (_signed(a), _signed(b))
-    return [found[k] for k in sorted(found)]
-
-
-def histogram_shards(rows: DataFrame, key: str, size: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """`rows` with columns shard (int) and slot (long, gapless from 0 in each shard). `key` and `size` name long columns."""
-    keyed = written(rows.withColumns({"_hs_k1": F.coalesce(F.col(key), F.lit(0)).cast("long"), "_hs_k2": F.monotonically_increasing_id(), "_hs_size": F.col(size).cast("long")}), "histogram-sort")
-    bounds = splitters(keyed, shards, tolerance)
-    k1, k2 = F.col("_hs_k1"), F.col("_hs_k2")
-    shard = reduce(lambda x, y: x + y, (F.when((k1 > a) | ((k1 == a) & (k2 >= b)), 1).otherwise(0) for a, b in bounds), F.lit(0)).cast("int")
-    prefix = _prefix(k1, DIGITS[0])
-    counts = keyed.groupBy(prefix.alias("p")).count().collect()  # at most 2**12 rows
-    heavy = [r.p for r in counts if 64 * r["count"] > sum(x["count"] for x in counts)]
-    part = F.when(prefix.isin(heavy), F.shiftright(k2, 33)).otherwise(F.lit(-1)) if heavy else F.lit(-1)
-    dealt = keyed.withColumns({"shard": shard, "_hs_p": prefix, "_hs_part": part.cast("long")})
-    run = ["shard", "_hs_p", "_hs_part"]
-    before = Window.partitionBy("shard").orderBy("_hs_p", "_hs_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(*run).agg(F.count(F.lit(1)).alias("_hs_n")).withColumn("_hs_before", F.coalesce(F.sum("_hs_n").over(before), F.lit(0))).drop("_hs_n")
-    placed = dealt.withColumn("_hs_row", F.row_number().over(Window.partitionBy(*run).orderBy("_hs_k1", "_hs_k2")))
-    return placed.join(offsets, run).withColumn("slot", (F.col("_hs_before") + F.col("_hs_row") - 1).cast("long")).drop("_hs_k1", "_hs_k2", "_hs_size", "_hs_p", "_hs_part", "_hs_before", "_hs_row")
+                    open_[k] = (target, below, p)
+    for k, (_, _, p) in open_.items():
+        found[k] = p
+    return [_bound(found[k]) for k in sorted(found)]
+
+
+def histogram_shards(rows: DataFrame, key: str, size: str, shards: int = SHARDS, tolerance: float = TOLERANCE, tie: str | None = None, whole: float = WHOLE) -> DataFrame:
+    """`rows` with columns shard (int) and slot (long, gapless from 0 in each shard). `key` and `size` name long columns, `tie` any column."""
+    k1, k2, k3, bytes_, p1, p2, g1, g2, part, n, before, row = (free_name(rows, f"hs_{c}") for c in ("k1", "k2", "k3", "bytes", "p1", "p2", "g1", "g2", "part", "n", "before", "row"))
+    tied = F.xxhash64(F.col(tie)) if tie else F.lit(0).cast("long")
+    keyed = written(rows.withColumns({k1: F.coalesce(F.col(key), F.lit(0)).cast("long"), k2: tied, k3: F.monotonically_increasing_id(), bytes_: F.coalesce(F.col(size), F.lit(0)).cast("long")}), "histogram-sort")
+    words = [k1, k2, k3]
+    bounds = splitters(keyed, words, bytes_, shards, tolerance, whole)
+
+    def from_on(bound: tuple[int, ...]) -> Column:
+        out = F.col(words[-1]) >= bound[-1]
+        for w, b in list(zip(words, bound, strict=True))[-2::-1]:
+            out = (F.col(w) > b) | ((F.col(w) == b) & out)
+        return out
+
+    shard = reduce(lambda x, b: x + F.when(from_on(b), 1).otherwise(0), bounds, F.lit(0)).cast("int")
+    first, second = _prefix(F.col(k1), DIGITS[0]), _prefix(F.col(k2), SECOND)
+    counts = keyed.groupBy(first.alias("p"), second.alias("q")).count()
+    everything = keyed.count()
+    heavy = [(r.p, r.q) for r in counts.where(F.col("count") * 64 > everything).collect()]  # fewer than 64
+    is_heavy = F.struct(first.alias("p"), second.alias("q")).isin([F.struct(F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p, q in heavy]) if heavy else F.lit(False)
+    only = lambda c: F.when(is_heavy, c).otherwise(F.lit(0).cast("long"))
+    # the parts of a heavy prefix are its distinct keys, and for rows alike the partitions that they came from: the order is that of the others
+    dealt = keyed.withColumns({"shard": shard, p1: first, p2: second, g1: only(F.col(k1)), g2: only(F.col(k2)), part: only(F.shiftright(F.col(k3), 33))})
+    run = ["shard", p1, p2, g1, g2, part]
+    earlier = Window.partitionBy("shard").orderBy(*run[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*run).agg(F.count(F.lit(1)).alias(n)).withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    placed = dealt.withColumn(row, F.row_number().over(Window.partitionBy(*run).orderBy(k1, k2, k3)))
+    return placed.join(offsets, run).withColumn("slot", (F.col(before) + F.col(row) - 1).cast("long")).select(*rows.columns, "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +130,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", document_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
     )
-    return histogram_shards(docs, "text_hash", "size").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return histogram_shards(docs, "text_hash", "size", tie="doc_id").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
