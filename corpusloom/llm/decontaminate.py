@@ -12,8 +12,9 @@ fewer than `LITERALS` plain words says too little: such windows of the benchmark
 that of its other windows alone, so that other parameters don't count against it. Items shorter than a window are one window.
 
 Edge cases: null and empty texts match nothing; null items and items without words are never found; repeated items are found together;
-repeated documents are rows of their own with equal results (doc_id is taken as the key of a document's text; rows with one doc_id share the
-union of their matches); other columns are ignored.
+rows are known by doc_id and a hash of the text, so that repeated rows have equal results, rows of one doc_id with other texts their own, and
+rows without doc_id are looked at like all others; very long texts are one row at a time; empty tables give empty results or none contaminated;
+other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -99,8 +100,13 @@ def _exact() -> Column:
     return F.transform("tokens", lambda w: F.xxhash64(F.when(w.startswith(MARK), w.substr(F.lit(3), F.length(w))).otherwise(w), F.lit("exact")))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What a row of `docs` is known by."""
+    return F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_key"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, coverage, reparameterised for each benchmark item that leaks into a document."""
+    """doc (row_key of a document), item_id, coverage, reparameterised for each benchmark item that leaks into a document."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", tokens(F.col("text")).alias("tokens"))
     items = items.groupBy("tokens").agg(F.array_sort(F.collect_set("item_id")).alias("items")).where(F.size("tokens") > 0).withColumn("item", F.element_at("items", 1))
     items = written(items.withColumn("hashes", _hashes()), "benchmark-items", 8)
@@ -120,7 +126,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     bare = [r.width for r in own.where("bare").select("width").distinct().collect()]  # at most `window` widths
 
     n_own = own.count()
-    mine = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _once(tokens(F.col("text"))).alias("tokens")).select("doc_id", "tokens", _once(_hashes()).alias("hashes"), *([_once(_exact()).alias("exact")] if bare else []))
+    mine = docs.select(row_key(docs).alias("doc"), _once(tokens(F.col("text"))).alias("tokens")).select("doc", "tokens", _once(_hashes()).alias("hashes"), *([_once(_exact()).alias("exact")] if bare else []))
     windows = _windows(F.col("hashes"), [window, *short])
     if bare:
         windows = F.concat(windows, _windows(F.col("exact"), bare))
@@ -128,33 +134,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     if n_own <= BROADCAST_WINDOWS:  # windows that the benchmark can't have are left out before they are rows, so that the tokens go along with those that stay
         bits = min(max(1 << 16, 1 << (32 * n_own).bit_length()), MOST_BITS)
         bitmap = _bitmap(own, bits)
-        near = mine.select("doc_id", "tokens", _once(F.filter(windows, lambda w: _maybe(bitmap, w["hash"], bits))).alias("near")).select("doc_id", "tokens", F.explode("near").alias("w")).select("doc_id", "tokens", "w.*")
-        matches = near.join(F.broadcast(own), ["width", "hash"]).select("doc_id", "item", "bare", "width", "pos", "item_pos", found_in)
+        near = mine.select("doc", "tokens", _once(F.filter(windows, lambda w: _maybe(bitmap, w["hash"], bits))).alias("near")).select("doc", "tokens", F.explode("near").alias("w")).select("doc", "tokens", "w.*")
+        matches = near.join(F.broadcast(own), ["width", "hash"]).select("doc", "item", "bare", "width", "pos", "item_pos", found_in)
     else:
-        near = mine.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*").join(own, ["width", "hash"]).select("doc_id", "item", "bare", "width", "pos", "item_pos")
-        matches = near.join(mine.select("doc_id", "tokens"), "doc_id").select("doc_id", "item", "bare", "width", "pos", "item_pos", found_in)
+        near = mine.select("doc", F.explode(windows).alias("w")).select("doc", "w.*").join(own, ["width", "hash"]).select("doc", "item", "bare", "width", "pos", "item_pos")
+        matches = near.join(mine.select("doc", "tokens"), "doc").select("doc", "item", "bare", "width", "pos", "item_pos", found_in)
     matches = written(matches.distinct(), "leak-windows")
 
     item_tokens = items.select("item", F.col("tokens").alias("item_tokens"))
     item_slots = F.exists("item_tokens", lambda t: t.startswith(MARK))
     with_slots = matches.where("not bare").join(item_tokens.where(item_slots), "item")
     pairs = F.arrays_zip(F.slice("item_tokens", F.col("item_pos"), F.col("width")).alias("i"), F.col("doc_tokens").alias("d"))
-    filled = with_slots.select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.explode(F.filter(pairs, lambda p: p["i"].startswith(MARK))).alias("p"))
-    slots = filled.groupBy("doc_id", "item", "diagonal", "p.i").agg(F.min("p.d").alias("low"), F.max("p.d").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.d") == F.col("p.i")).alias("same"))
-    slots = slots.groupBy("doc_id", "item", "diagonal").agg((F.bool_and(F.col("low") == F.col("high")) | (F.sum("same") >= F.sum("n") * VERBATIM)).alias("consistent"), F.bool_or(F.col("low") != F.col("i")).alias("changed"))
+    filled = with_slots.select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.explode(F.filter(pairs, lambda p: p["i"].startswith(MARK))).alias("p"))
+    slots = filled.groupBy("doc", "item", "diagonal", "p.i").agg(F.min("p.d").alias("low"), F.max("p.d").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.d") == F.col("p.i")).alias("same"))
+    slots = slots.groupBy("doc", "item", "diagonal").agg((F.bool_and(F.col("low") == F.col("high")) | (F.sum("same") >= F.sum("n") * VERBATIM)).alias("consistent"), F.bool_or(F.col("low") != F.col("i")).alias("changed"))
 
-    found = matches.withColumn("diagonal", F.col("pos") - F.col("item_pos")).join(slots, ["doc_id", "item", "diagonal"], "left").where(F.col("bare") | F.coalesce("consistent", F.lit(True)))
+    found = matches.withColumn("diagonal", F.col("pos") - F.col("item_pos")).join(slots, ["doc", "item", "diagonal"], "left").where(F.col("bare") | F.coalesce("consistent", F.lit(True)))
     templates = F.count_distinct(F.when(~F.col("bare"), F.col("item_pos")))
-    found = found.groupBy("doc_id", "item").agg(F.countDistinct("item_pos").alias("hit"), templates.alias("hit_templates"), F.bool_or(~F.col("bare") & F.coalesce("changed", F.lit(False))).alias("reparameterised")).join(n_windows, "item")
+    found = found.groupBy("doc", "item").agg(F.countDistinct("item_pos").alias("hit"), templates.alias("hit_templates"), F.bool_or(~F.col("bare") & F.coalesce("changed", F.lit(False))).alias("reparameterised")).join(n_windows, "item")
     found = found.withColumn("coverage", F.greatest(F.col("hit") / F.col("n_windows"), F.try_divide("hit_templates", "n_templates"))).where(F.col("coverage") >= coverage)
-    return found.join(items.select("item", "items"), "item").select("doc_id", F.explode("items").alias("item_id"), "coverage", "reparameterised")
+    return found.join(items.select("item", "items"), "item").select("doc", F.explode("items").alias("item_id"), "coverage", "reparameterised")
 
 
 def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id of every document with contaminated, item_ids and the largest coverage."""
-    leaks = find_leaks(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.bool_or("reparameterised").alias("reparameterised"))
-    return docs.select("doc_id").join(leaks, "doc_id", "left").select(
-        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised")
+    leaks = find_leaks(docs, benchmark).groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.bool_or("reparameterised").alias("reparameterised"))
+    return docs.select(row_key(docs).alias("doc")).join(leaks, "doc", "left").select(
+        "doc.doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised")
     )
 
 
@@ -164,6 +170,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents into which no benchmark item leaks."""
-    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents into which no benchmark item leaks; each row is judged by its own text, with a doc_id or without."""
+    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")).select("doc").distinct()
+    return docs.join(leaks, row_key(docs) == leaks["doc"], "left_anti").select(*docs.columns)
