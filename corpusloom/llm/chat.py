@@ -3,11 +3,13 @@
 Control strings inside roles and texts are escaped: a backslash is doubled, and a control string gets a backslash after its first character.
 A turn is `<s>[INST]role[/INST]text</s>`; texts of the assistant's turns are the generation block.
 
-Rows are dealt by conv_id and sorted by turn; a conversation streams through the template and the reader one turn at a time, so that its length
-costs no memory in the query (`format_conversations`, which returns the text as one string, holds that string).
+Rows are dealt by conv_id and sorted by turn; a conversation streams through the template and the reader, which sees formatted text and the loss mask
+and nothing else, a turn at a time, so that its length costs no memory in the query (`format_conversations`, which returns the text as one string, holds
+that string). One conversation is one task's: its digests run over its turns in order.
 
-Edge cases: null roles and texts are empty; null turns come first, equal turns go by role and text; a null conv_id is a conversation of its
-own; an empty table still has conversation -1 in the query; other columns are ignored.
+Edge cases: null roles and texts are empty; null turns come first, equal turns go by role and text; repeated rows are turns of their own; a null
+conv_id is a conversation of its own; an empty table still has conversation -1 in the query, which stays apart from a conversation -1 of the table;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ SOURCE = (
     '{% for m in messages %}{{ "<s>" + "[INST]" }}{{ m.role | escape }}{{ "[/INST]" }}'
     '{% if m.role == "assistant" %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}{{ "</s>" }}{% endfor %}'
 )
+_LAST = "</s>"
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
 _ESCAPED = re.compile(r"\\(\\?)")
 #: What a turn of a user and of the assistant say in the conversation that the query adds.
@@ -47,43 +50,55 @@ def template(source: str = SOURCE) -> Template:
 
 
 class Reader:
-    """Reads formatted text as it comes, a turn at a time, and digests what it finds."""
+    """Reads formatted text as it comes, in pieces of any size, with its loss mask, and digests the turns that it finds."""
 
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
         self._held: list[tuple[str, bool]] = []
+        self._tail = ""
 
     def feed(self, text: str, masked: bool) -> None:
         self.formatted_chars += len(text)
         self._held.append((text, masked))
-        if not masked and text.endswith("</s>"):
-            self._turn()
-
-    def _turn(self) -> None:
-        whole = "".join(t for t, _ in self._held)
+        seen = self._tail + text
+        self._tail = seen[-(len(_LAST) - 1) :]
+        while _LAST in seen:  # an end mark inside a text would be escaped
+            whole = "".join(t for t, _ in self._held)
+            end = whole.index(_LAST) + len(_LAST)
+            now, rest, at = [], [], 0
+            for t, m in self._held:
+                cut = min(max(end - at, 0), len(t))
+                now.append((t[:cut], m))
+                rest.append((t[cut:], m))
+                at += len(t)
+            self._turn(whole[:end], now)
+            self._held = [r for r in rest if r[0]]
+            seen = whole[end:]
+            self._tail = seen[-(len(_LAST) - 1) :]
+
+    def _turn(self, whole: str, pieces: list[tuple[str, bool]]) -> None:
         m = re.fullmatch(r"<s>\[INST\](.*?)\[/INST\](.*)</s>", whole, re.S)
         if not m or _CONTROL.search(m[1]) or _CONTROL.search(m[2]):
-            return  # the end mark was part of a text's escape: the turn goes on
+            raise ValueError("this is no formatted turn")
         self.turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
-        loss = unescape("".join(t for t, masked in self._held if masked))
+        loss = unescape("".join(t for t, masked in pieces if masked))
         self.loss.update(loss.encode("utf-8", "surrogatepass"))
         self.loss_chars += len(loss)
         self.n_turns += 1
-        self._held = []
 
 
 def _by_conversation(batches: Iterable) -> Iterator[tuple[int | None, Iterator[tuple[str, str]]]]:
-    """(conv_id, its rows) of batches that are sorted by conv_id and turn; the rows are read as they are asked for."""
-    rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+    """(conv_id, its rows) of batches that are sorted by conv_id, origin and turn; the rows are read as they are asked for."""
+    rows = (row for b in batches for lo in range(0, b.num_rows, 500) for row in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns), strict=True))
     row = next(rows, None)
     while row is not None:
-        conv = row[0]
+        conv, origin = row[:2]
 
-        def of(conv: int | None = conv) -> Iterator[tuple[str, str]]:
+        def of(key: tuple = (conv, origin)) -> Iterator[tuple[str, str]]:
             nonlocal row
-            while row is not None and row[0] == conv:
-                yield row[1] or "", row[2] or ""
+            while row is not None and row[:2] == key:
+                yield row[2] or "", row[3] or ""
                 row = next(rows, None)
 
         turns = of()
@@ -92,9 +107,12 @@ def _by_conversation(batches: Iterable) -> Iterator[tuple[int | None, Iterator[t
             pass
 
 
-def _dealt(conversations: DataFrame) -> DataFrame:
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), "turn")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+def _dealt(conversations: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """conv_id, origin (1 for the rows of `more`), role, text in the order of turns."""
+    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn")]
+    rows = conversations.select(*columns, F.lit(0).alias("origin"))
+    rows = rows if more is None else rows.unionByName(more.select(*columns, F.lit(1).alias("origin")))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "origin", "turn", "role", "text").select("conv_id", "origin", "role", "text")
 
 
 def format_conversations(conversations: DataFrame, source: str = SOURCE) -> DataFrame:
@@ -133,7 +151,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return _dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)).mapInArrow(run, DIGESTS)
+    return _dealt(table(spark, sf_dir, "conversations"), probe).mapInArrow(run, DIGESTS)
 
 
 ORACLE_SQL = r"""

@@ -2,6 +2,7 @@
 
     text {{ expression }} {% for x in e %}..{% endfor %} {% if e %}..{% elif e %}..{% else %}..{% endif %}
     {% set x = e %} {% generation %}..{% endgeneration %} {# comment #}
+    A minus beside a brace ({{-, -}}, {%-, -%}, {#-, -#}) trims the white space of the text on that side.
 
 Expressions: strings, integers, true, false, none, names, a.b and a["b"], ==, !=, <, <=, >, >=, in, not, and, or, +, ~, filters (| name) and
 parentheses. Attributes are dictionary keys or, by integer, list items only; there are no calls, so that a template reaches nothing but what
@@ -32,7 +33,7 @@ class Node:
 
 _TOKEN = re.compile(r"""\s*(?:(?P<int>\d+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+~|.\[\]()]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
-_PIECE = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_PIECE = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
 _LITERALS = {"true": True, "false": False, "none": None}
 _COMPARE: dict[str, Callable[[Any, Any], bool]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b}
 
@@ -136,11 +137,18 @@ def parse(source: str) -> Node:
     root = Node("block")
     stack = [root]
     opened: list[Node] = []
-    at = 0
+    at, trim = 0, False
+
+    def text_between(lo: int, hi: int, left: bool, right: bool) -> None:
+        text = source[lo:hi]
+        text = text.lstrip() if left else text
+        text = text.rstrip() if right else text
+        if text:
+            stack[-1].parts.append(Node("text", text))
+
     for m in _PIECE.finditer(source):
-        if m.start() > at:
-            stack[-1].parts.append(Node("text", source[at : m.start()]))
-        at = m.end()
+        text_between(at, m.start(), trim, m[0][2] == "-")
+        at, trim = m.end(), m[0][-3] == "-"
         if m[1] is not None:
             stack[-1].parts.append(Node("put", parts=[_Expression(m[1]).whole()]))
             continue
@@ -184,8 +192,7 @@ def parse(source: str) -> Node:
         stack.append(opened[-1].parts[0 if word == "generation" else 1])
     if opened:
         raise TemplateError(f"{opened[-1].kind} is not ended")
-    if at < len(source):
-        root.parts.append(Node("text", source[at:]))
+    text_between(at, len(source), trim, False)
     return root
 
 
