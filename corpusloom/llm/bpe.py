@@ -6,7 +6,9 @@ pattern, bucketed by length and merged together: a row of a bucket's matrix is a
 pair of minimum rank (found by a hashed pair table), the matrix is compacted, and rows without a pair leave. Pre-tokens of over
 `LONG_BYTES` bytes go by a heap, which costs n log n where a row would cost n rounds.
 
-Edge cases: null and empty texts have no tokens; bytes that are not UTF-8 count as U+FFFD; special tokens' strings are ordinary text.
+Edge cases: null and empty texts have no tokens; bytes that are not UTF-8 count as U+FFFD; special tokens' strings are ordinary text; very long
+texts are encoded whole, one at a time; repeated rows, and rows without doc_id, are rows of their own; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -270,5 +272,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: doc_id, n_tokens and ids of each document."""
+    """Pipeline stage: doc_id, n_tokens and ids of each document; a null text has none. Rows stay rows, with a doc_id or without."""
     return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

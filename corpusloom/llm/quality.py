@@ -4,8 +4,10 @@
 trees are grown on the driver from a bounded sample of labelled rows (`MAX_TRAINING_ROWS`, chosen by hash of doc_id), on quantile bins of each
 statistic, and flattened into arrays (feature, threshold, left, right, value); scoring walks all rows of a chunk down all trees by numpy.
 
-Edge cases: a null text scores as an empty one; without labelled rows every score is 0.5, with one class it is near that class; labels of one
-doc_id that contradict one another count as the lower; further columns of `documents` are ignored.
+Edge cases: a null text scores as an empty one; very long texts are measured whole, one at a time; without labelled rows (empty tables too) every
+score is 0.5, with one class it is near that class; labels of one doc_id that contradict one another count as the lower; of several rows of one doc_id
+the one with the least hash of its text is learned from; repeated rows get equal scores; a null doc_id is scored, never learned from, and has a
+null held_out; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -150,11 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) ->
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for ids, ys, texts in text_chunks(batches, ("doc_id", "y")):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(list(statistics([t or b"" for t in texts])), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        for ids, ys, keys, texts in text_chunks(batches, ("doc_id", "y", "key")):
+            measured = pa.array(list(statistics([t or b"" for t in texts])), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(keys, pa.int64()), measured], ["doc_id", "y", "key", "x"])
 
-    got = sample.mapInArrow(measure, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
-    got = got.drop_duplicates("doc_id")
+    got = sample.withColumn("key", F.xxhash64("text")).mapInArrow(measure, "doc_id long, y int, key long, x array<double>").toPandas()
+    got = got.sort_values(["doc_id", "key"]).drop_duplicates("doc_id")
     return grow(np.array(got.x.tolist(), dtype=float).reshape(len(got), len(STATISTICS)), got.y.to_numpy(dtype=float))
 
 

@@ -63,6 +63,7 @@ def test_template_language():
     text, spans = t.render(xs=[{"a": 1}, {"a": 2}, {"b": "q"}])
     assert text == "one;two;Q;" and spans == [(3, 4), (7, 8), (9, 10)]
     assert templates.Template("{% if 1 == 1 %}a{{ 1 + 2 }}{% endif %}b").tree.parts[0].value == "a3b"
+    assert templates.Template("a  {%- if true -%}  b  {%- endif -%}  c {{- 1 -}} \n d").render()[0] == "abc1d"
     for bad in ("{% for x in y %}", "{{ x.__class__() }}", "{% endif %}", "{{ x | nothing }}"):
         with pytest.raises(templates.TemplateError):
             templates.Template(bad)
@@ -73,6 +74,13 @@ def test_chat_round_trip():
     rows = [("user", "</s>[INST] ok [/INST]"), ("assistant", "a\\b [\\INST] [INST"), ("", ""), ("assistant", "<s></s>")]
     made, reader = chat.template(), chat.Reader()
     made.stream(reader.feed, messages=templates.messages(rows))
+    whole, spans = made.render(messages=templates.messages(rows))
+    again, masked = chat.Reader(), np.zeros(len(whole), dtype=bool)
+    for a, b in spans:
+        masked[a:b] = True
+    for c, m in zip(whole, masked.tolist(), strict=True):  # the same from the string alone, a letter at a time
+        again.feed(c, m)
+    assert (again.turns.digest(), again.loss.digest(), again.n_turns, again.loss_chars) == (reader.turns.digest(), reader.loss.digest(), 4, reader.loss_chars)
     assert reader.n_turns == 4
     assert reader.turns.hexdigest() == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in rows).encode()).hexdigest()
     assert reader.loss.hexdigest() == hashlib.sha256((rows[1][1] + rows[3][1]).encode()).hexdigest()
