@@ -259,9 +259,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     decoded = written(classes.select("class", "weight", "embedding").mapInArrow(decode, f"class long, weight long, embedding {kind}, filters array<long>"), "vector-filters")
     held = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").count().where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    placed = decoded.select(F.explode("filters").alias("filter"), "class", "weight", "embedding", "filters").join(held, "filter")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "weight", "embedding", "filters")
+    # units are made of numbers alone; vectors are fetched by class and travel once, to where they are compared
+    placed = decoded.select(F.explode("filters").alias("filter"), "class").join(held, "filter").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class").join(decoded, "class").select("filter", "i", "j", "part", "class", "weight", "embedding", "filters")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
