@@ -14,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import gc
 import hashlib
@@ -26,10 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, text_chunks
+from corpusloom.llm.common import released, small_batches, table, text_chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_BYTES = 128
+#: Pieces that a worker keeps with their tokens, while a task runs.
 CACHED = 500_000
 #: White space as Unicode defines it (Python's own class has four control characters more).
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -40,13 +42,13 @@ _NONE = np.int64(1 << 40)
 
 
 class PairTable:
-    """(left id, right id) -> rank of the joined token, in open addressing with linear probes."""
+    """left id << 32 | right id -> rank of the joined token, in open addressing with linear probes."""
 
-    def __init__(self, pairs: dict[tuple[int, int], int]):
+    def __init__(self, pairs: dict[int, int]):
         self.bits = max(8, int(2 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.ranks = np.full(1 << self.bits, _NONE, dtype=np.int64)
-        key = np.fromiter((a << 32 | b for a, b in pairs), dtype=np.int64, count=len(pairs))
+        key = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         rank = np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))
         slot = self._slot(key)
         while len(key):  # each free slot goes to one of those that want it; the others step on
@@ -85,7 +87,7 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.comma = {i: f",{i}" for i in self.tokens}
-        self.pairs = {(self.ranks[t[:i]], self.ranks[t[i:]]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        self.pairs = {self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         self.table = PairTable(self.pairs)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pattern = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
@@ -132,7 +134,7 @@ class Bpe:
     def _heap(self, word: bytes) -> list[int]:
         ids = self.byte[np.frombuffer(word, dtype=np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -144,7 +146,7 @@ class Bpe:
             if after[j] < len(ids):
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(ids) and (q := self.pairs.get((ids[x], ids[y]))) is not None:
+                if x >= 0 and y < len(ids) and (q := self.pairs.get(ids[x] << 32 | ids[y])) is not None:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
@@ -212,6 +214,19 @@ def bpe(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
+@contextlib.contextmanager
+def _task(coder: Bpe) -> Iterator[Bpe]:
+    """A task's time with the coder: without collections, which would only walk millions of small tuples that make no cycles; at the end the worker,
+    which may go on to other work, forgets the pieces."""
+    gc.disable()
+    try:
+        yield coder
+    finally:
+        coder._spaced.clear()
+        gc.enable()
+        released()
+
+
 def _default() -> tuple[str, str]:
     import public_tokenizers
 
@@ -229,10 +244,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        gc.disable()
-        for doc_ids, texts in text_chunks(batches):
-            ids = [[i for piece in t for i in piece] for t in bpe(path, pattern).encode_texts(_strings(texts))]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with _task(bpe(path, pattern)) as coder:
+            for doc_ids, texts in text_chunks(batches):
+                ids = [[i for piece in t for i in piece] for t in coder.encode_texts(_strings(texts))]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -258,14 +273,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        gc.disable()  # millions of small tuples and no cycles: collections would only walk them
-        for doc_ids, texts in text_chunks(batches):
-            rows = []
-            for pieces in bpe(path, pattern).encode_texts(_strings(texts), bpe(path, pattern).written):
-                n, ids, back = zip(*pieces, strict=True) if pieces else ((), (), ())
-                rows.append((sum(n), hashlib.sha256("".join(ids)[1:].encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()))
-            n, ids, back = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _task(bpe(path, pattern)) as coder:
+            for doc_ids, texts in text_chunks(batches):
+                rows = []
+                for pieces in coder.encode_texts(_strings(texts), coder.written):
+                    n, ids, back = zip(*pieces, strict=True) if pieces else ((), (), ())
+                    rows.append((sum(n), hashlib.sha256("".join(ids)[1:].encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()))
+                n, ids, back = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -273,4 +288,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: doc_id, n_tokens and ids of each document; a null text has none. Rows stay rows, with a doc_id or without."""
+    small_batches(spark)
     return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,7 +16,19 @@ CHUNK_BYTES = 2_000_000
 BLOCK_BYTES = 1_000_000
 
 
+#: Arrow batches are small on either side of the workers' pipes: a worker's memory then follows what it works on.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCHES in a session that has larger ones; a query's last step runs when its caller asks for rows, so that this can't be undone here."""
+    for name, value in BATCHES.items():
+        if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > int(value):
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Spark's own setting: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+#: Spark's own setting while a table is written: its shuffle files go when it ends, not when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,9 +53,10 @@ def written(df: DataFrame, tag: str, partitions: int | None = None) -> DataFrame
     it is freed at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    small_batches(spark)
+    before = spark.conf.get(CLEANUP)
     try:
+        spark.conf.set(CLEANUP, "true")
         (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
@@ -94,7 +109,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 2 * CHUNK_BYTES:
+        if size <= BLOCK_BYTES + BLOCK_BYTES // 4:
             _powers[key] = have
     return have[:n]
 
@@ -167,6 +182,18 @@ def text_chunks(batches: Iterable, columns: tuple[str, ...] = ("doc_id",), text:
                 held, size = [[] for _ in held], 0
     if held[0]:
         yield tuple(held)
+    released()
+
+
+def released() -> None:
+    """Gives memory that is free back to the system: a worker goes on to other tasks, and its heap would stay at its largest."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _slices(batch, at: int, limit: int) -> Iterator[tuple]:  # noqa: ANN001

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, rolling, table, text_chunks, words_of, written
+from corpusloom.llm.common import free_name, released, rolling, table, text_chunks, words_of, written
 from corpusloom.llm.graph import components
 
 #: Similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -204,6 +204,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
                 yield from of_elements([x[:cut] for x in rows])
         if held is not None and len(held[0]):
             yield from of_elements(held)
+        released()
 
     dealt = postings.select("element", "salt", "group_id", "n", "pos").repartition("element", "salt").sortWithinPartitions("element", "salt")
     return dealt.mapInArrow(run, "kind int, a long, b long, n int, pos int")
@@ -312,6 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+        released()
 
     rows = left.unionByName(right.select("a", "part", "b", "elements"))
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, table, text_chunks, words_of, written
+from corpusloom.llm.common import mix, released, table, text_chunks, words_of, written
 from corpusloom.llm.packed import by_cell, keyed_rows, narrow, offsets, pack, spread, unpack
 
 #: Counts up to this are discounted.
@@ -390,6 +390,7 @@ def _in_cells(asked: DataFrame, count: Callable[[int, list[tuple]], list[tuple]]
                     rows.append(row)
         if rows:
             yield from told(now, rows)
+        released()
 
     def told(cell: int, rows: list[tuple]) -> Iterator:
         out = count(cell, rows)

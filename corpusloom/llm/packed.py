@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from corpusloom.llm.common import released
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one binary. Integers of 4 and 8 bytes go by the weight of their bytes: the high bytes of small values compress to nothing."""
@@ -79,3 +81,5 @@ def keyed_rows(batches: Iterable, keys: int = 1) -> Iterator[tuple[tuple, list[t
                 rows.append(row)
     if rows:
         yield key, rows  # type: ignore[misc]
+    rows = []
+    released()

@@ -318,9 +318,12 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
         import pyarrow as pa
 
-        gc.disable()  # many small tuples and no cycles
-        for ids, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scorer.score([(t or b"").decode("utf-8", "replace") for t in texts]))], ["doc_id", "score"])
+        gc.disable()  # many small strings and no cycles
+        try:
+            for ids, texts in text_chunks(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scorer.score([(t or b"").decode("utf-8", "replace") for t in texts]))], ["doc_id", "score"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
