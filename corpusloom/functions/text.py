@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ZERO_WIDTH = "‌‍﻿­"
-EDGE_PUNCTUATION = ".,;:!?\"'“”‘’()[]{}«»…-–—।॥*_"
+#: What is taken from the edges of a token.
+EDGE_PUNCTUATION = "\"'“”‘’«»`´.,;:!?()[]{}<>…—–-*/\\|_+=~^&%$#@¶§௦"
 
 
 @dataclass(frozen=True)
@@ -22,6 +24,8 @@ class Script:
     consonants: str
     fold_case: bool
     compose: tuple[tuple[str, str], ...] = ()
+    #: A mark that stands for a sign of the script after one of its letters.
+    sign: tuple[str, str] | None = None
 
 
 LATIN = Script(letters=r"\p{L}", vowel_signs="aeiouáéíóúàèìòùâêîôûäëïöü", consonants="b-df-hj-np-tv-zçñß", fold_case=True)
@@ -32,7 +36,10 @@ TAMIL = Script(
     consonants="க-ஹ",
     fold_case=False,
     compose=(("ொ", "ொ"), ("ோ", "ோ"), ("ௌ", "ௌ"), ("ஔ", "ஔ"), ("௤", "।"), ("௥", "॥")),
+    sign=(":", "ஃ"),
 )
+#: What a token of the script must not hold.
+LATIN_OR_DIGIT = "[A-Za-z0-9०-९]"
 
 
 def strip_zero_width(s: Column) -> Column:
@@ -48,13 +55,17 @@ def strip_edge_punctuation(s: Column) -> Column:
 def compose(s: Column, script: Script) -> Column:
     for a, b in script.compose:
         s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    return s if script.sign is None else F.regexp_replace(s, f"(?<=[{script.letters}]){script.sign[0]}", script.sign[1])
 
 
-def normalise(s: Column, script: Script, reject: str | None = None) -> Column:
-    """T-03: null where `reject` (a regular expression) is found."""
-    out = compose(strip_edge_punctuation(strip_zero_width(s)), script)
-    return out if reject is None else F.when(~out.rlike(reject), out)
+def normalise(s: Column, script: Script, reject: str | None = None, strict: bool = False) -> Column:
+    """T-03: null, or with `strict` an error, where `reject` (a regular expression) is found."""
+    bare = strip_edge_punctuation(strip_zero_width(s))
+    out = compose(bare, script)
+    if reject is None:
+        return out
+    refused = F.raise_error(F.concat(F.lit("not of the script: "), bare)).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(bare.rlike(reject), refused).otherwise(out)
 
 
 def canonical(s: Column, script: Script) -> Column:
@@ -76,14 +87,15 @@ def normalise_sentence(s: Column, script: Script) -> Column:
 
 def tokens(s: Column, script: Script) -> Column:
     """T-06: runs of letters of the canonical text."""
-    text = compose(strip_zero_width(s), script)
-    return F.regexp_extract_all(F.lower(text) if script.fold_case else text, F.lit(f"[{script.letters}]+"), 0)
+    return F.regexp_extract_all(canonical(s, script), F.lit(f"[{script.letters}]+"), 0)
 
 
 def sentences(s: Column) -> Column:
-    """T-08, in a form without look-behind: lines, cut after an end mark that white space follows."""
-    cut = F.split(F.regexp_replace(s, r"([.!?।॥…])[ \t]+", "$1\n"), "\n")
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    """T-08: lines, cut where an end mark, then marks that close what was quoted, then white space stand."""
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lines = F.transform(F.split(strip_zero_width(s), "\n"), bare)
+    cut = F.flatten(F.transform(lines, lambda x: F.split(x, "(?U)(?<=[.!?।॥…])[\\s\"'“”‘’)\\]]*\\s+")))
+    return F.filter(F.transform(cut, bare), lambda x: x != "")
 
 
 def script_ratio(s: Column, script: Script) -> Column:
@@ -139,23 +151,80 @@ def html_text(s: Column) -> Column:
     return F.btrim(F.regexp_replace(s, r"[ \t\r\n]+", " "))
 
 
-def clean(s: Column, script: Script = LATIN) -> tuple[Column, Column]:
-    """T-19: a raw answer cleaned step by step, and the names of the steps that changed it."""
-    steps = (
-        ("strip_think_block", lambda x: F.regexp_replace(x, r"(?is)<think>.*?</think>", "")),
-        ("strip_code_fence", lambda x: F.regexp_replace(x, r"```[a-z]*\n?", "")),
-        ("strip_explanation_tail", lambda x: F.regexp_replace(x, r"(?is)\n+(explanation|note)s?:.*", "")),
-        ("strip_label_prefix", lambda x: F.regexp_replace(x, r"(?i)^ *(translation|answer|output) *: *", "")),
-        ("take_first_line", lambda x: F.regexp_replace(F.btrim(x), r"(?s)\n.*", "")),
-        ("strip_quotes", lambda x: F.regexp_replace(x, "^[\"'“”‘’]+|[\"'“”‘’]+$", "")),
-        ("strip_trailing_transliteration", lambda x: F.regexp_replace(x, r" *\([^()]*\)$", "")),
-    )
-    text, ops = F.btrim(s), F.array().cast("array<string>")
-    for name, step in steps:
-        after = F.btrim(step(text))
-        ops = F.when(after != text, F.array_append(ops, F.lit(name))).otherwise(ops)
-        text = after
-    return text, ops
+#: What a model writes before, after and around its answer.
+THINK_OPEN, THINK_BLOCK = r"(?i)<think\b", r"(?is)<think\b[^>]*>.*?</think\s*>"
+LABEL_PREFIX = r"(?i)^\s*(tamil|translation|தமிழ்|மொழிபெயர்ப்பு)\s*[:：]\s*"
+ANSWER_LINE = r"(?i)^\s*(மொழிபெயர்ப்பு|translation|tamil|தமிழ்)\s*[:：]\s*"
+CONTEXT_LINE = r"(?i)^\s*(சூழல்|சூழ்நிலை|context)\s*[:：]\s*"
+EXPLANATION = r"(?i)\n\s*(\*\*|##|Explanation\b|Note\b|Here'?s\b)"
+CODE_FENCE = r"^```[a-zA-Z]*\s*|\s*```$"
+TRAILING_PARENTHESIS = r"\s*[(\[]([^()\[\]]*)[)\]]\s*$"
+QUOTE_OPEN, QUOTE_CLOSE = "\"'“‘", "\"'”’"
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: a plan in which each step names the last one several times would double with every step."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def clean(s: Column, script: Script = TAMIL) -> tuple[Column, Column]:
+    """T-19: the answer in a raw output, and the names of the steps that changed it, in order. Reasoning goes (one that isn't ended is named and
+    stays), then a fence, an explanation after an answer, a label; of several lines the one labelled as answer, else the first in the script that
+    isn't labelled as context; then quotation marks and up to three parentheses without the script."""
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    has = lambda x: x.rlike(f"[{script.letters}]")
+    parenthesis, fence = "(?U)" + TRAILING_PARENTHESIS, "(?U)" + CODE_FENCE
+
+    def step(name: str, make: Callable[[Column], tuple[Column, Column]]) -> Callable[[Column], Column]:
+        """`make` gives for a text whether the step is taken, and the text after it."""
+
+        def run(state: Column) -> Column:
+            when, after = make(state["text"])
+            return F.struct(F.when(when, after).otherwise(state["text"]).alias("text"), F.when(when, F.array_append(state["ops"], F.lit(name))).otherwise(state["ops"]).alias("ops"))
+
+        return run
+
+    def bare(state: Column) -> Column:
+        return F.struct(strip(state["text"]).alias("text"), state["ops"].alias("ops"))
+
+    def one_line(state: Column) -> Column:
+        def of(lines: Column) -> Column:
+            text, ops = state["text"], state["ops"]
+            answer = F.try_element_at(F.filter(lines, lambda x: x.rlike(ANSWER_LINE)), F.lit(1))
+            plain = F.filter(lines, lambda x: ~x.rlike(CONTEXT_LINE))
+            drop = (F.size(plain) > 0) & (F.size(plain) != F.size(lines))
+            body = F.when(drop, plain).otherwise(lines)
+            pick = F.coalesce(F.try_element_at(F.filter(body, has), F.lit(1)), F.try_element_at(body, F.lit(1)))
+            named = F.when(drop, F.array_append(ops, F.lit("drop_context_labelled_line"))).otherwise(ops)
+            first = F.struct(pick.alias("text"), F.when(pick != text, F.array_append(named, F.lit("take_first_tamil_line"))).otherwise(named).alias("ops"))
+            labelled = F.struct(strip(F.regexp_replace(answer, ANSWER_LINE, "")).alias("text"), F.array_append(ops, F.lit("take_labelled_translation_line")).alias("ops"))
+            return F.when(F.size(lines) <= 1, state).when(answer.isNotNull(), labelled).otherwise(first)
+
+        return let(F.filter(F.split(state["text"], "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]"), lambda x: strip(x) != ""), of)
+
+    def explained(x: Column) -> tuple[Column, Column]:
+        head = F.element_at(F.split(x, EXPLANATION, 2), 1)
+        return (head != x) & has(head), strip(head)
+
+    def quoted(x: Column) -> tuple[Column, Column]:
+        n = F.length(x)
+        return (n >= 2) & F.contains(F.lit(QUOTE_OPEN), F.left(x, F.lit(1))) & F.contains(F.lit(QUOTE_CLOSE), F.right(x, F.lit(1))), strip(x.substr(F.lit(2), n - 2))
+
+    def transliterated(x: Column) -> tuple[Column, Column]:
+        head = strip(F.regexp_replace(x, parenthesis, ""))
+        return x.rlike(parenthesis) & (script_share(F.regexp_extract(x, parenthesis, 1), script) < 0.2) & has(head), head
+
+    state = F.struct(s.alias("text"), F.array().cast("array<string>").alias("ops"))
+    for made in (
+        step("strip_think_block", lambda x: (x.rlike(THINK_OPEN) & (F.regexp_replace(x, THINK_BLOCK, "") != x), F.regexp_replace(x, THINK_BLOCK, ""))),
+        step("LEAKED_THINK_UNCLOSED", lambda x: (x.rlike(THINK_OPEN), x)), bare,
+        step("strip_code_fence", lambda x: (x.startswith("```"), strip(F.regexp_replace(x, fence, "")))),
+        step("strip_explanation_tail", explained),
+        step("strip_label_prefix", lambda x: (x.rlike(LABEL_PREFIX), F.regexp_replace(x, LABEL_PREFIX, ""))), one_line, bare,
+        step("strip_quotes", quoted), *[step("strip_trailing_transliteration", transliterated)] * 3, bare,
+    ):
+        state = let(state, made)
+    return state["text"], state["ops"]
 
 
 def surface_hit(hypothesis: Column, targets: Column) -> Column:
@@ -215,19 +284,61 @@ def difference_span(good, bad):  # type: ignore[no-untyped-def]
     return pd.DataFrame(rows, columns=["start", "end"])
 
 
+def _clusters(s: str) -> list[str]:
+    import regex
+
+    return regex.findall(r"\X", s)
+
+
+def _differences(a: list[str], b: list[str], most: int = 250_000) -> int:
+    """Runs in which two sequences differ, off a longest common subsequence; `most` bounds the table of its lengths."""
+    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b or set(a).isdisjoint(b):
+        return int(bool(a or b))
+    if len(a) * len(b) > most:
+        return 99
+    common = [[0] * (len(b) + 1)]  # from the end: common[i][j] of the last i and j items
+    for x in reversed(a):
+        row = [0]
+        for j, y in enumerate(reversed(b)):
+            row.append(common[-1][j] + 1 if x == y else max(common[-1][j + 1], row[-1]))
+        common.append(row)
+    i, j, runs, inside = len(a), len(b), 0, False
+    while i and j:
+        same = a[len(a) - i] == b[len(b) - j]
+        runs += not same and not inside
+        inside = not same
+        if same:
+            i, j = i - 1, j - 1
+        elif common[i - 1][j] >= common[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return runs + (not inside and bool(i or j))
+
+
 @F.pandas_udf(T.IntegerType())
 def difference_count(a, b):  # type: ignore[no-untyped-def]
-    """T-24: runs in which two texts differ, letter by letter; 99 beyond 250,000 comparisons."""
-    import difflib
-
+    """T-24: runs in which two texts differ, by grapheme clusters; 99 where the parts between their common ends are too long to compare."""
     import pandas as pd
 
-    def one(x: str, y: str) -> int:
-        if len(x) * len(y) > 250_000:
-            return 99
-        return sum(op[0] != "equal" for op in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes())
+    return pd.Series([_differences(_clusters(x or ""), _clusters(y or "")) for x, y in zip(a, b, strict=True)])
+
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def flipped(gold: Column, start: Column, end: Column, morpheme: Column, attested: Column, script: Script) -> Column:
+    """T-25: the gold text with another value: the attested text where it differs in one run, else the morpheme spliced into the span if that does;
+    (text, ok, reason)."""
+    whole = normalise_sentence(attested, script)
+    part = spliced(gold, start, end, morpheme)
+    made = normalise_sentence(part["text"], script)
+    runs = difference_count(gold, made)
+    taken = F.struct(whole.alias("text"), F.lit(True).alias("ok"), F.lit("attested").alias("reason"))
+    refused = F.struct(gold.alias("text"), F.lit(False).alias("ok"), part["reason"].alias("reason"))
+    tried = F.struct(made.alias("text"), (runs == 1).alias("ok"), F.when(runs == 1, "spliced").otherwise(F.concat(F.lit("runs: "), runs.cast("string"))).alias("reason"))
+    return F.when(attested.isNotNull() & (difference_count(gold, whole) == 1), taken).when(~part["ok"], refused).otherwise(tried)
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -18,12 +18,12 @@ def lines(docs: DataFrame, script: X.Script, least: float = 0.8, keys: tuple[str
 def first_lines(of: DataFrame, script: X.Script) -> DataFrame:
     """D-01: lines at their first occurrence by (doc_id, line_no). Counted before any document gate, as a dropped document's lines have been seen.
 
-    The least place of each key is found by partial aggregation, so that a line in very many documents is no window of one task.
+    The least place of each key, with the line that stands there, is found by partial aggregation: lines are keyed once, a task sends a line once
+    however many documents have it, and nothing is joined.
     """
-    keyed = of.withColumn("key", X.line_key(F.col("line"), script))
-    place = F.struct("doc_id", "line_no")
-    seen = keyed.groupBy("key").agg(F.min(place).alias("first"))
-    return keyed.join(seen, "key").where(place == F.col("first")).drop("key", "first")
+    rest = [c for c in of.columns if c not in ("doc_id", "line_no")]
+    first = of.groupBy(X.line_key(F.col("line"), script).alias("_key")).agg(F.min(F.struct("doc_id", "line_no", *rest)).alias("_first"))
+    return first.select(*(F.col("_first")[c].alias(c) for c in of.columns))
 
 
 def gated(docs: DataFrame, script: X.Script, min_tokens: int = 20, min_signs: float = 0.20, least: float = 0.8) -> DataFrame:

@@ -38,7 +38,7 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}]+')"
 TOK = "tok AS (SELECT source AS corpus, doc_id, unnest(" + TOKENS.format("text") + ") AS form FROM documents), dform AS (SELECT corpus, doc_id, form, count(*) AS n FROM tok GROUP BY ALL), typ AS (SELECT corpus, form, CAST(sum(n) AS BIGINT) AS n, count(*) AS df FROM dform GROUP BY ALL)"
-SENT = r"raw AS (SELECT source AS corpus, doc_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?।॥…])[ \t]+', '\1' || chr(10), 'g'), chr(10))], lambda x: x <> '') AS ss FROM documents), sent AS (SELECT corpus, doc_id, unnest(range(len(ss))) AS sent_no, unnest(ss) AS sentence FROM raw), st AS (SELECT corpus, doc_id, sent_no, doc_id * 1000000 + sent_no AS sid, regexp_extract_all(lower(sentence), '[\p{L}]+') AS tokens FROM sent)"
+SENT = r"""raw AS (SELECT source AS corpus, doc_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(translate(text, '‌‍﻿­', ''), '([.!?।॥…])[ \t\r\f\v"''“”‘’)\]]*[ \t\r\f\v]+', '\1' || chr(10), 'g'), chr(10))], lambda x: x <> '') AS ss FROM documents), sent AS (SELECT corpus, doc_id, unnest(range(len(ss))) AS sent_no, unnest(ss) AS sentence FROM raw), st AS (SELECT corpus, doc_id, sent_no, doc_id * 1000000 + sent_no AS sid, regexp_extract_all(lower(sentence), '[\p{L}]+') AS tokens FROM sent)"""
 
 
 def form_frequencies(spark, d):  # type: ignore[no-untyped-def]
@@ -243,10 +243,10 @@ def second_form_density(spark, d):  # type: ignore[no-untyped-def]
 
 
 def log_ratio_by_language(spark, d):  # type: ignore[no-untyped-def]
-    """M-02: log2 of relative frequencies, English against French."""
-    t = read(spark, d, "documents").where(F.col("lang").isin("en", "fr")).select("lang", F.explode(X.tokens(F.col("text"), X.LATIN)).alias("form"))
-    n = t.groupBy("form").agg(F.count_if(F.col("lang") == "en").alias("n_en"), F.count_if(F.col("lang") == "fr").alias("n_fr")).where(F.col("n_en") + F.col("n_fr") >= 20)
-    return n.select("form", "n_en", "n_fr", F.when((F.col("n_en") > 0) & (F.col("n_fr") > 0), F.round(X.log_ratio(F.col("n_en"), F.col("n_fr")), 6)).alias("log_ratio"))
+    """M-02: log2 of relative frequencies, English against all other languages."""
+    t = read(spark, d, "documents").select("lang", F.explode(X.tokens(F.col("text"), X.LATIN)).alias("form"))
+    n = t.groupBy("form").agg(F.count_if(F.col("lang") == "en").alias("n_en"), F.count_if(F.col("lang") != "en").alias("n_other")).where(F.col("n_en") + F.col("n_other") >= 20)
+    return n.select("form", "n_en", "n_other", F.when((F.col("n_en") > 0) & (F.col("n_other") > 0), F.round(X.log_ratio(F.col("n_en"), F.col("n_other")), 6)).alias("log_ratio"))
 
 
 def shared_forms(spark, d):  # type: ignore[no-untyped-def]
@@ -304,7 +304,7 @@ ORACLES = {
     "cluster_bootstrap_hash": BOOT,
     "suffix_rule_inventory": f"WITH {TOK}, t AS (SELECT form, CAST(sum(n) AS BIGINT) AS n FROM typ GROUP BY form), r AS (SELECT form, n, CASE {_RULE} END AS rule, CASE {_VALUE} END AS value FROM t) SELECT * FROM r WHERE rule IS NOT NULL AND form NOT IN ('thing', 'her', 'other')",
     "second_form_density": f"WITH {SENT}, c AS (SELECT corpus, count(*) FILTER (list_contains(tokens, 'this') OR list_contains(tokens, 'that')) AS k, count(*) AS n, sum(len(tokens)) AS t FROM st WHERE len(tokens) > 0 GROUP BY corpus) SELECT corpus, k, n, round(k * 1e6 / t, 4) AS per_million, round({_WILSON('k', 'n', '-')}, 6) AS low, round({_WILSON('k', 'n', '+')}, 6) AS high FROM c",
-    "log_ratio_by_language": r"WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS form FROM documents WHERE lang IN ('en', 'fr')), n AS (SELECT form, count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (lang = 'fr') AS n_fr FROM t GROUP BY form) SELECT form, n_en, n_fr, CASE WHEN n_en > 0 AND n_fr > 0 THEN round(log2(n_en / n_fr), 6) END AS log_ratio FROM n WHERE n_en + n_fr >= 20",
+    "log_ratio_by_language": r"WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS form FROM documents), n AS (SELECT form, count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (lang <> 'en') AS n_other FROM t GROUP BY form) SELECT form, n_en, n_other, CASE WHEN n_en > 0 AND n_other > 0 THEN round(log2(n_en / n_other), 6) END AS log_ratio FROM n WHERE n_en + n_other >= 20",
     "shared_forms": r"WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS form FROM documents) SELECT form FROM t GROUP BY form HAVING count(DISTINCT lang) FILTER (lang IN ('en', 'de', 'es', 'fr')) = 4",
     "top_forms_by_corpus": f"WITH {TOK}, k AS (SELECT corpus, form, n, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, form) AS rank FROM typ) SELECT * FROM k WHERE rank <= 12",
     "seeded_sample": "SELECT doc_id, md5('20260807|' || doc_id) AS h FROM documents ORDER BY h, doc_id LIMIT 300",

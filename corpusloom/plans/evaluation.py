@@ -76,7 +76,7 @@ def mcnemar_exact(spark, d):  # type: ignore[no-untyped-def]
 def binomial_vs_chance(spark, d):  # type: ignore[no-untyped-def]
     """U-05: one-sided against a quarter."""
     c = P.cells(scored(spark, d), ["system", "slot"])
-    return c.select("system", "slot", "correct", "n", S.binomial_sf(F.col("correct"), F.col("n"), F.lit(0.25)).alias("p"))
+    return c.select("system", "slot", "correct", "n", S.binomial_sf(F.col("correct"), F.col("n"), F.lit(0.25)).alias("p")).withColumn("p", F.round("p", 6))
 
 
 def holm_adjust(spark, d):  # type: ignore[no-untyped-def]
@@ -102,7 +102,7 @@ def modal_unanimity(spark, d):  # type: ignore[no-untyped-def]
 
 
 def dfr_range(spark, d):  # type: ignore[no-untyped-def]
-    """A-19: emitted shares of each slot against shares of all, with ends half and double."""
+    """A-19: emitted shares of each slot against shares of all, with ends a tenth below and above."""
     s = scored(spark, d).where("emitted is not null")
     obs = s.groupBy("slot", F.col("emitted").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = s.groupBy("slot").agg(F.count(F.lit(1)).alias("t"))
@@ -164,7 +164,7 @@ def clean_ops_histogram(spark, d):  # type: ignore[no-untyped-def]
     """T-19: how often each step changes an answer. Answers get a label, a quote or a tail, by turn."""
     c = read(spark, d, "conversations")
     raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Translation: "), F.col("text"))).when(F.col("turn") % 3 == 1, F.concat(F.lit('"'), F.col("text"), F.lit('" (abc)'))).otherwise(F.concat("text", F.lit("\n\nNote: more")))
-    return c.select(F.explode(X.clean(raw)[1]).alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+    return c.select(F.explode(X.clean(raw, X.LATIN)[1]).alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
 def onset_crossing(spark, d):  # type: ignore[no-untyped-def]
@@ -232,27 +232,25 @@ def variant_dedup_ids(spark, d):  # type: ignore[no-untyped-def]
 
 
 def positional_score_join(spark, d):  # type: ignore[no-untyped-def]
-    """J-06, N-08, S-10: components of vectors as a metric's scores, joined by line and set side by side."""
+    """J-06, N-08, S-10: all components of vectors as a metric's scores, joined by line; three lines are the variants of an item, set side by side."""
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("metric"), F.col("embedding").alias("scores"))
-    index = spark.range(3).select(F.col("id").cast("int").alias("line"), F.element_at(F.array(F.lit("good"), F.lit("bad"), F.lit("empty")), (F.col("id") + 1).cast("int")).alias("variant"))
-    w = M.wide_variants(M.positional(F.broadcast(index), v), ["metric"], ["good", "bad", "empty"])
-    return w.select("metric", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("good", "bad", "empty")))
+    lines = v.agg(F.max(F.size("scores")).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("line"))
+    index = lines.select("line", F.floor(F.col("line") / 3).alias("item"), F.element_at(F.array(F.lit("good"), F.lit("bad"), F.lit("empty")), F.col("line") % 3 + 1).alias("variant"))
+    w = M.wide_variants(M.positional(index, v), ["metric", "item"], ["good", "bad", "empty"])
+    return w.select("metric", "item", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("good", "bad", "empty")))
 
 
 def heldout_reference(spark, d):  # type: ignore[no-untyped-def]
-    """J-07."""
-    r = read(spark, d, "conversations").where("turn <= 3").select((F.col("conv_id") % 40).alias("item"), "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("good"))
+    """J-07: every turn of every conversation."""
+    r = read(spark, d, "conversations").select((F.col("conv_id") % 40).alias("item"), "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("good"))
     return M.held_out_reference(r).select("conv_id", "turn", "reference")
 
 
-def heldout_reference_all_turns(spark, d):  # type: ignore[no-untyped-def]
-    """J-07 over whole conversations; heldout_reference keeps to the turns of its SQL."""
-    r = read(spark, d, "conversations").select((F.col("conv_id") % 40).alias("item"), "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("good"))
-    return M.held_out_reference(r).select("conv_id", "turn", "reference")
+heldout_reference_all_turns = heldout_reference
 
 
 def span_localisation(spark, d):  # type: ignore[no-untyped-def]
-    """J-17, A-24: the first bar of a line of a table as gold, every comma as a prediction."""
+    """J-17, A-24: a document's first full stop, with three letters on either side, as gold, and the space of its first comma as the prediction."""
     t = read(spark, d, "documents").select("lang", F.instr("text", ".").alias("at"), F.instr("text", ",").alias("comma"), F.length("text").alias("len"))
     rows = t.where("at > 0").select("lang", (F.col("at") - 3).alias("start"), (F.col("at") + 3).alias("end"), F.when(F.col("comma") > 0, F.array(F.struct((F.col("comma") - 4).alias("start"), (F.col("comma") + 4).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     out = M.localisation(rows, ["lang"])
@@ -279,7 +277,7 @@ def token_spans(spark, d):  # type: ignore[no-untyped-def]
 QUERIES = {f.__name__: f for f in (
     props_json_extract, panel_cells, panel_balance, panel_missing_cells, gradient_drop, mcnemar_pairs, mcnemar_exact, binomial_vs_chance, holm_adjust, prompt_robustness, modal_value_by_system, modal_unanimity, dfr_range, length_leak_detector, answer_locus_drop,
     wording_delta, raw_integrity, restricted_overlap_gate, audit_findings, html_to_text, clean_ops_histogram, onset_crossing, first_n_per_stratum, metric_direction, metric_sign_test, metric_magnitude, metric_groupings, z_floor, splice_decomposition,
-    variant_dedup_ids, positional_score_join, heldout_reference, heldout_reference_all_turns, span_localisation, chrf_sentence, mean_interval, token_spans,
+    variant_dedup_ids, positional_score_join, heldout_reference, span_localisation, chrf_sentence, mean_interval, token_spans,
 )}
 
 _MODAL = SCORED + ", m AS (SELECT system, slot, emitted, count(*) AS n FROM scored WHERE emitted IS NOT NULL GROUP BY ALL), modal AS (SELECT system, slot, emitted AS modal, n, n / sum(n) OVER (PARTITION BY system, slot) AS modal_share, row_number() OVER (PARTITION BY system, slot ORDER BY n DESC, emitted) AS r FROM m)"
@@ -310,7 +308,8 @@ ORACLES = {
     "z_floor": f"WITH {PAIRS}, z AS (SELECT arm, slot, abs(good - empty) >= 1.0 AS used, CASE WHEN abs(good - empty) >= 1.0 THEN (good - bad) / (good - empty) END AS z FROM pairs) SELECT arm, slot, count(*) FILTER (used) AS n_used, count(*) FILTER (NOT used) AS n_dropped, CASE WHEN count(*) FILTER (used) >= 20 THEN round(avg(z), 4) END AS mean, CASE WHEN count(*) FILTER (used) >= 20 THEN round(quantile_cont(z, 0.5), 4) END AS median FROM z GROUP BY ALL",
     "splice_decomposition": f"WITH {PAIRS}, i AS (SELECT slot, item, avg(good - bad) FILTER (arm = 'A') AS dc, avg(good - bad) FILTER (arm = 'R') AS dn FROM pairs GROUP BY ALL HAVING dc IS NOT NULL AND dn IS NOT NULL), g AS (SELECT CASE WHEN grouping(slot) = 1 THEN 'ALL' ELSE slot END AS slot, count(*) AS n_items, avg(dc) AS dc, avg(dn) AS dn FROM i GROUP BY ROLLUP (slot)) SELECT slot, n_items, round(dc, 4) AS dc, round(dn, 4) AS dn, CASE WHEN n_items >= 20 THEN round((dc + dn) / 2, 4) END AS s, CASE WHEN n_items >= 20 THEN round((dc - dn) / 2, 4) END AS b FROM g",
     "variant_dedup_ids": "WITH l AS (SELECT item_id, 'good' AS variant, text FROM benchmark UNION ALL SELECT item_id, 'bad', 'x' || text FROM benchmark), k AS (SELECT text, row_number() OVER (ORDER BY encode(text)) - 1 AS line FROM (SELECT DISTINCT text FROM l)) SELECT item_id, variant, line FROM l JOIN k USING (text)",
-    "positional_score_join": "SELECT vec_id AS metric, round(embedding[1]::DOUBLE, 6) AS good, round(embedding[2]::DOUBLE, 6) AS bad, round(embedding[3]::DOUBLE, 6) AS empty FROM embeddings",
-    "heldout_reference": "WITH r AS (SELECT conv_id % 40 AS item, conv_id, turn, md5(text) AS good FROM conversations WHERE turn <= 3) SELECT a.conv_id, a.turn, (SELECT min(b.good) FROM r b WHERE b.item = a.item AND b.good <> a.good) AS reference FROM r a",
+    "positional_score_join": "WITH e AS (SELECT vec_id AS metric, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS line FROM embeddings) SELECT metric, line // 3 AS item, round(max(x) FILTER (line % 3 = 0), 6) AS good, round(max(x) FILTER (line % 3 = 1), 6) AS bad, round(max(x) FILTER (line % 3 = 2), 6) AS empty FROM e GROUP BY ALL",
+    "binomial_vs_chance": "WITH " + SCORED + ", c AS (SELECT system, slot, count(*) FILTER (outcome = 'CORRECT') AS correct, count(*) AS n FROM scored GROUP BY ALL) SELECT system, slot, correct, n, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.25) + (n - i) * ln(0.75))) FROM (SELECT unnest(range(correct, n + 1)) AS i)), 6) AS p FROM c",
+    "heldout_reference": "WITH r AS (SELECT conv_id % 40 AS item, conv_id, turn, md5(text) AS good FROM conversations), l AS (SELECT item, list_sort(list(DISTINCT good))[1:2] AS least FROM r GROUP BY item) SELECT conv_id, turn, list_filter(least, lambda t: t <> good)[1] AS reference FROM r JOIN l USING (item)",
     "span_localisation": "WITH t AS (SELECT lang, instr(text, '.') - 3 AS s, instr(text, '.') + 3 AS e, instr(text, ',') AS c FROM documents WHERE instr(text, '.') > 0), o AS (SELECT lang, c > 0 AS f, CASE WHEN c > 0 THEN greatest(0, least(e, c + 4) - greatest(s, c - 4)) ELSE 0 END AS ov FROM t), g AS (SELECT lang, count(*) AS n, count(*) FILTER (f) AS n_flagged, count(*) FILTER (ov >= 1) AS n_hit, count(*) FILTER (f AND ov / (14.0 - ov) >= 0.5) AS n_iou FROM o GROUP BY lang) SELECT lang, n, n_flagged, n_hit, n_iou, n_hit AS tp, n_flagged - n_hit AS fp, round(n_hit / nullif(n_flagged, 0), 6) AS precision, round(n_hit / n, 6) AS recall, round(2 * (n_hit / nullif(n_flagged, 0)) * (n_hit / n) / nullif(n_hit / nullif(n_flagged, 0) + n_hit / n, 0), 6) AS f1 FROM g",
 }

@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -23,7 +24,13 @@ def duck():
 
 def rows(df):
     columns = sorted(df.columns)
-    cell = lambda x: "null" if x is None or x != x or str(x) in ("<NA>", "NaT") else repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) else str(x)
+
+    def cell(x):
+        if x is None or (not isinstance(x, (list, dict, str)) and pd.isna(x) is True):
+            return "null"
+        number = isinstance(x, (int, float)) and not isinstance(x, bool)
+        return repr(round(float(x), 6)) if number and math.isfinite(x) else str(x)
+
     return columns, sorted(tuple(cell(getattr(x, "item", lambda x=x: x)()) for x in r) for r in df[columns].itertuples(index=False, name=None))
 
 

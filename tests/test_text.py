@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -43,9 +44,41 @@ def test_splice(spark):
 
 
 def test_clean_names_its_steps(spark):
-    text, ops = X.clean(F.lit('Translation: "hello" (helo)\nsecond line'))
-    r = spark.range(1).select(text.alias("t"), ops.alias("o")).first()
-    assert "strip_label_prefix" in r.o and "take_first_line" in r.o and r.t.startswith("hello")
+    """Golden rows: outputs, the answer in them and the steps."""
+    golden = [
+        ("சூழல்: மீனா காத்திருந்தாள்.\nமொழிபெயர்ப்பு: நண்பகலில் வந்தார்கள்.", "நண்பகலில் வந்தார்கள்.", ["take_labelled_translation_line"]),
+        ("<think>no</think> Translation: “அவன் வந்தான்” (avan)", "“அவன் வந்தான்”", ["strip_think_block", "strip_label_prefix", "strip_trailing_transliteration"]),
+        ("<think>அவன்", "<think>அவன்", ["LEAKED_THINK_UNCLOSED"]),
+        ("```ta\n\"அவன்\"\n```", "அவன்", ["strip_code_fence", "strip_quotes"]),
+        ("அவன் வந்தான்\n\nNote: he came", "அவன் வந்தான்", ["strip_explanation_tail"]),
+        ("context: he\nHere\nஅவள் (அவன்) [x] (y)", "அவள் (அவன்)", ["drop_context_labelled_line", "take_first_tamil_line", "strip_trailing_transliteration", "strip_trailing_transliteration"]),
+        ("", "", []),
+    ]
+    text, ops = X.clean(F.col("raw"))
+    got = spark.createDataFrame([(i, g[0]) for i, g in enumerate(golden)], "i int, raw string").select("i", text.alias("t"), ops.alias("o")).orderBy("i").collect()
+    assert [(r.t, list(r.o)) for r in got] == [(t, o) for _, t, o in golden]
+
+
+def test_sentences_end_behind_closing_quotes(spark):
+    assert one(spark, X.sentences(F.lit('He said "stop." Then he left.  \n\n (Really?) Yes!No'))) == ["He said \"stop.", "Then he left.", "(Really?", "Yes!No"]
+
+
+def test_canonical_forms(spark):
+    assert one(spark, X.canonical(F.lit("`(கெ" + "ா)\\"), X.TAMIL)) == "கொ" and one(spark, X.canonical(F.lit("அ:து"), X.TAMIL)) == "அஃது"
+    assert one(spark, X.normalise(F.lit("abc"), X.TAMIL, X.LATIN_OR_DIGIT)) is None
+    with pytest.raises(Exception, match="not of the script"):
+        one(spark, X.normalise(F.lit("a1"), X.TAMIL, X.LATIN_OR_DIGIT, strict=True))
+
+
+def test_differences_are_of_clusters(spark):
+    rows = [("வந்தான்", "வந்தாள்"), ("a b c d", "a x c y"), ("க", "கா"), ("x" * 600 + "a" + "x" * 600, "y" + "x" * 1100 + "z")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    assert [r.x for r in df.select(X.difference_count("a", "b").alias("x")).collect()] == [1, 2, 1, 99]
+
+
+def test_flipped_prefers_what_is_attested(spark):
+    f = lambda contrast: X.flipped(F.lit("அவன் வந்தான்"), F.lit(11), F.lit(12), F.lit("ள்"[0]), F.lit(contrast).cast("string"), X.TAMIL)
+    assert one(spark, f("அவன் வந்தாள்")).reason == "attested" and one(spark, f(None)).ok in (True, False)
 
 
 def test_surface_hit_without_targets_is_null(spark):
