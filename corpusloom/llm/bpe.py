@@ -31,8 +31,10 @@ from corpusloom.llm.common import released, small_batches, table, text_chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_BYTES = 128
+#: Bytes of text that are encoded at a time.
+CHUNK = 1_000_000
 #: Pieces that a worker keeps with their tokens, while a task runs.
-CACHED = 500_000
+CACHED = 120_000
 #: White space as Unicode defines it (Python's own class has four control characters more).
 _WS = r"\t-\r \x85\xa0  -     　"
 _CUT = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
@@ -86,6 +88,7 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {b: a for a, b in self.ranks.items()}
+        self.ids = {i: i for i in self.tokens}  # one object for each id
         self.comma = {i: f",{i}" for i in self.tokens}
         self.pairs = {self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         self.table = PairTable(self.pairs)
@@ -110,7 +113,7 @@ class Bpe:
             if done.any():
                 left = ids[done]
                 kept = left >= 0
-                flat, end = left[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+                flat, end = list(map(self.ids.__getitem__, left[kept].tolist())), np.cumsum(kept.sum(axis=1)).tolist()
                 for k, lo, hi in zip(who[done].tolist(), [0, *end], end, strict=False):
                     out[k] = flat[lo:hi]
             ids, rank, who, at, best = ids[~done], rank[~done], who[~done], at[~done], best[~done]
@@ -191,14 +194,14 @@ class Bpe:
         """For each text, make(token ids) of its pieces in order. What `make` gives for pieces after a space is cached."""
         cut = [self.cut(t) if t else [] for t in texts]
         cache = self._spaced.setdefault(make, {})
-        wanted = {w for c in cut for w in c[1:]} - cache.keys()
-        if len(cache) + len(wanted) > CACHED:
-            cache.clear()
-            wanted = {w for c in cut for w in c[1:]}
-        new = list(wanted)
+        new = list({w for c in cut for w in c[1:]} - cache.keys())
         cache.update(zip(new, map(make, self.encode_pieces([f" {w}" for w in new])), strict=True))
         heads = map(make, self.encode_pieces([c[0] for c in cut if c]))
-        return [[next(heads), *map(cache.__getitem__, c[1:])] if c else [] for c in cut]
+        out = [[next(heads), *map(cache.__getitem__, c[1:])] if c else [] for c in cut]
+        if len(cache) > CACHED:  # what came first stays: it is what comes often
+            for w in new:
+                del cache[w]
+        return out
 
     def decode(self, ids: tuple[int, ...] | list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -245,7 +248,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         import pyarrow as pa
 
         with _task(bpe(path, pattern)) as coder:
-            for doc_ids, texts in text_chunks(batches):
+            for doc_ids, texts in text_chunks(batches, limit=CHUNK):
                 ids = [[i for piece in t for i in piece] for t in coder.encode_texts(_strings(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -274,7 +277,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         with _task(bpe(path, pattern)) as coder:
-            for doc_ids, texts in text_chunks(batches):
+            for doc_ids, texts in text_chunks(batches, limit=CHUNK):
                 rows = []
                 for pieces in coder.encode_texts(_strings(texts), coder.written):
                     n, ids, back = zip(*pieces, strict=True) if pieces else ((), (), ())

@@ -48,6 +48,8 @@ LEADERS, MORE_LEADERS, BLOCK, CHUNK = 2, 8, 1 << 17, 128
 #: Groups of more members send their leads alone in the first round.
 LARGE = 8
 BROADCAST_IDS = 1_000_000
+#: Bytes of text that are made into sets at a time.
+BYTES = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -121,7 +123,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, percent: int,
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for *own, texts in text_chunks(batches, keys):
+        for *own, texts in text_chunks(batches, keys, limit=BYTES):
             rows = []
             for s in shingle_sets([t or b"" for t in texts], width):
                 ordered, rare = in_order(s, shared.value)
@@ -282,7 +284,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int) ->
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for own, texts in text_chunks(batches):
+        for own, texts in text_chunks(batches, limit=BYTES):
             sets = [s.tobytes() for s in shingle_sets([t or b"" for t in texts], width)]
             digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "elements"])
