@@ -74,9 +74,9 @@ def mcnemar_exact(spark, d):  # type: ignore[no-untyped-def]
 
 
 def binomial_vs_chance(spark, d):  # type: ignore[no-untyped-def]
-    """U-05: one-sided against a quarter."""
+    """U-05: one-sided against a quarter. These p-values are dyadic: ties of the last place go up, whatever sums them."""
     c = P.cells(scored(spark, d), ["system", "slot"])
-    return c.select("system", "slot", "correct", "n", S.binomial_sf(F.col("correct"), F.col("n"), F.lit(0.25)).alias("p")).withColumn("p", F.round("p", 6))
+    return c.select("system", "slot", "correct", "n", S.binomial_sf(F.col("correct"), F.col("n"), F.lit(0.25)).alias("p")).withColumn("p", F.round(F.col("p") + 1e-12, 6))
 
 
 def holm_adjust(spark, d):  # type: ignore[no-untyped-def]
@@ -309,7 +309,7 @@ ORACLES = {
     "splice_decomposition": f"WITH {PAIRS}, i AS (SELECT slot, item, avg(good - bad) FILTER (arm = 'A') AS dc, avg(good - bad) FILTER (arm = 'R') AS dn FROM pairs GROUP BY ALL HAVING dc IS NOT NULL AND dn IS NOT NULL), g AS (SELECT CASE WHEN grouping(slot) = 1 THEN 'ALL' ELSE slot END AS slot, count(*) AS n_items, avg(dc) AS dc, avg(dn) AS dn FROM i GROUP BY ROLLUP (slot)) SELECT slot, n_items, round(dc, 4) AS dc, round(dn, 4) AS dn, CASE WHEN n_items >= 20 THEN round((dc + dn) / 2, 4) END AS s, CASE WHEN n_items >= 20 THEN round((dc - dn) / 2, 4) END AS b FROM g",
     "variant_dedup_ids": "WITH l AS (SELECT item_id, 'good' AS variant, text FROM benchmark UNION ALL SELECT item_id, 'bad', 'x' || text FROM benchmark), k AS (SELECT text, row_number() OVER (ORDER BY encode(text)) - 1 AS line FROM (SELECT DISTINCT text FROM l)) SELECT item_id, variant, line FROM l JOIN k USING (text)",
     "positional_score_join": "WITH e AS (SELECT vec_id AS metric, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS line FROM embeddings) SELECT metric, line // 3 AS item, round(max(x) FILTER (line % 3 = 0), 6) AS good, round(max(x) FILTER (line % 3 = 1), 6) AS bad, round(max(x) FILTER (line % 3 = 2), 6) AS empty FROM e GROUP BY ALL",
-    "binomial_vs_chance": "WITH " + SCORED + ", c AS (SELECT system, slot, count(*) FILTER (outcome = 'CORRECT') AS correct, count(*) AS n FROM scored GROUP BY ALL) SELECT system, slot, correct, n, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.25) + (n - i) * ln(0.75))) FROM (SELECT unnest(range(correct, n + 1)) AS i)), 6) AS p FROM c",
+    "binomial_vs_chance": "WITH " + SCORED + ", c AS (SELECT system, slot, count(*) FILTER (outcome = 'CORRECT') AS correct, count(*) AS n FROM scored GROUP BY ALL) SELECT system, slot, correct, n, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.25) + (n - i) * ln(0.75))) FROM (SELECT unnest(range(correct, n + 1)) AS i)) + 1e-12, 6) AS p FROM c",
     "heldout_reference": "WITH r AS (SELECT conv_id % 40 AS item, conv_id, turn, md5(text) AS good FROM conversations), l AS (SELECT item, list_sort(list(DISTINCT good))[1:2] AS least FROM r GROUP BY item) SELECT conv_id, turn, list_filter(least, lambda t: t <> good)[1] AS reference FROM r JOIN l USING (item)",
     "span_localisation": "WITH t AS (SELECT lang, instr(text, '.') - 3 AS s, instr(text, '.') + 3 AS e, instr(text, ',') AS c FROM documents WHERE instr(text, '.') > 0), o AS (SELECT lang, c > 0 AS f, CASE WHEN c > 0 THEN greatest(0, least(e, c + 4) - greatest(s, c - 4)) ELSE 0 END AS ov FROM t), g AS (SELECT lang, count(*) AS n, count(*) FILTER (f) AS n_flagged, count(*) FILTER (ov >= 1) AS n_hit, count(*) FILTER (f AND ov / (14.0 - ov) >= 0.5) AS n_iou FROM o GROUP BY lang) SELECT lang, n, n_flagged, n_hit, n_iou, n_hit AS tp, n_flagged - n_hit AS fp, round(n_hit / nullif(n_flagged, 0), 6) AS precision, round(n_hit / n, 6) AS recall, round(2 * (n_hit / nullif(n_flagged, 0)) * (n_hit / n) / nullif(n_hit / nullif(n_flagged, 0) + n_hit / n, 0), 6) AS f1 FROM g",
 }

@@ -150,7 +150,7 @@ def falsification(spark, d):  # type: ignore[no-untyped-def]
     j = pairs.join(cells, "system").join(tv, "system")
     j = j.withColumns({"p_m": S.binomial_two_sided(F.least("b", "c"), F.col("b") + F.col("c")), "p_c": S.binomial_sf(F.col("k2"), F.col("n2"), F.lit(0.5)), "p_0": S.binomial_sf(F.col("k0"), F.col("n0"), F.lit(0.5))})
     made = M.falsified(F.col("b"), F.col("c"), F.col("p_m"), F.col("p_c"), F.col("tv"), F.col("mp") == F.col("mq"), F.col("p_0"), F.lit(False))
-    return j.select("system", "b", "c", F.round("p_m", 6).alias("p_mcnemar"), F.round("p_c", 6).alias("p_chance"), _r("tv"), *(v.alias(k) for k, v in made.items()))
+    return j.select("system", "b", "c", F.round(F.col("p_m") + 1e-12, 6).alias("p_mcnemar"), F.round(F.col("p_c") + 1e-12, 6).alias("p_chance"), _r("tv"), *(v.alias(k) for k, v in made.items()))
 
 
 _TAIL = "(SELECT sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + {n} * ln(0.5))) FROM (SELECT unnest(range(CAST({lo} AS BIGINT), CAST({hi} AS BIGINT) + 1)) AS i))"
@@ -163,7 +163,7 @@ tot AS (SELECT system, sum(p) AS tp, sum(q) AS tq FROM sh GROUP BY system),
 tv AS (SELECT system, 0.5 * sum(abs(p / tp - q / tq)) AS tv, arg_max(emitted, {'p': p, 'e': emitted}) AS mp, arg_max(emitted, {'q': q, 'e': emitted}) AS mq FROM sh JOIN tot USING (system) GROUP BY system),
 j AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * """ + _TAIL.format(n="(b + c)", lo="0", hi="least(b, c)") + ") END AS p_m, " + _TAIL.format(n="n2", lo="k2", hi="n2") + " AS p_c, " + _TAIL.format(n="n0", lo="k0", hi="n0") + """ AS p_0 FROM pairs JOIN cells USING (system) JOIN tv USING (system)),
 v AS (SELECT *, b > c AND p_m < 0.01 AS c1, p_c >= 0.05 AS c2, coalesce(mp = mq AND tv < 0.15, false) AS c3, p_0 < 0.05 AS able FROM j)
-SELECT system, b, c, round(p_m, 6) AS p_mcnemar, round(p_c, 6) AS p_chance, round(tv, 6) AS tv, c1 AS criterion_1, c2 AS criterion_2, c3 AS criterion_3, able AS c0_ok, c1 AND c2 AND c3 AND coalesce(able, false) AS default_is_active FROM v"""
+SELECT system, b, c, round(p_m + 1e-12, 6) AS p_mcnemar, round(p_c + 1e-12, 6) AS p_chance, round(tv, 6) AS tv, c1 AS criterion_1, c2 AS criterion_2, c3 AS criterion_3, able AS c0_ok, c1 AND c2 AND c3 AND coalesce(able, false) AS default_is_active FROM v"""
 
 
 def interval_orders(spark, d):  # type: ignore[no-untyped-def]
