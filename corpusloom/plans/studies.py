@@ -497,9 +497,10 @@ SELECT conv_id, 'NO_ANSWER' AS code FROM c WHERE a = 0 UNION ALL SELECT conv_id,
 
 
 def harvested_paradigms(spark, d):  # type: ignore[no-untyped-def]
-    """G-22, G-14: parts as lemmas of a brand, types as tags, names as surfaces; the first word is the stem."""
-    p = read(spark, d, "part").select(F.col("p_brand").alias("lemma"), F.substring("p_name", 1, 1).alias("stem"), F.split("p_type", " ").alias("tags"), F.col("p_name").alias("surface"))
-    return R.paradigms(p, ["BRASS", "COPPER", "NICKEL", "STEEL", "TIN"])
+    """G-22, G-14: brands and sizes as lemmas, types and the second word of a name as tags (parts with two of the cases are left out), names as surfaces; their
+    first word is the stem."""
+    p = read(spark, d, "part").select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("lemma"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("stem"), F.array("p_type", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("tags"), F.col("p_name").alias("surface"))
+    return R.paradigms(p, ["SMALL", "LARGE", "PROMO", "ring", "gear"])
 
 
 def delta_postings(spark, d):  # type: ignore[no-untyped-def]
@@ -558,6 +559,6 @@ ORACLES = {
     "first_sentences": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 20", "minimal_pairs": MINIMAL_PAIRS,
     "reject_counters": f"SELECT reason, count(*) AS n FROM ({MINIMAL_PAIRS}) GROUP BY reason", "verified_swaps": VERIFIED_SWAPS,
     "template_tree_scan": "SELECT event_id, 'k' AS path FROM events WHERE regexp_full_match(props->>'$.k', '[0-9]{2}')", "template_findings": TEMPLATE_FINDINGS,
-    "harvested_paradigms": "WITH p AS (SELECT p_brand AS lemma, substr(p_name, 1, 1) AS stem, list_filter(string_split(p_type, ' '), lambda t: t IN ('BRASS', 'COPPER', 'NICKEL', 'STEEL', 'TIN')) AS own, p_name AS surface FROM part) SELECT lemma, own[1] AS \"case\", CASE WHEN count(DISTINCT stem) = 1 THEN arg_min(surface, {'n': length(surface), 's': surface}) END AS surface, CASE WHEN count(DISTINCT stem) > 1 THEN 'ambiguous' END AS reason FROM p WHERE len(own) = 1 GROUP BY ALL",
+    "harvested_paradigms": "WITH p AS (SELECT p_brand || '-' || p_size AS lemma, split_part(p_name, ' ', 1) AS stem, list_filter([p_type, split_part(p_name, ' ', 2)], lambda t: t IN ('SMALL', 'LARGE', 'PROMO', 'ring', 'gear')) AS own, p_name AS surface FROM part) SELECT lemma, own[1] AS \"case\", CASE WHEN count(DISTINCT stem) = 1 THEN arg_min(surface, {'n': length(surface), 's': surface}) END AS surface, CASE WHEN count(DISTINCT stem) > 1 THEN 'ambiguous' END AS reason FROM p WHERE len(own) = 1 GROUP BY ALL",
     "delta_postings": DELTA_POSTINGS, "half_even_totals": HALF_EVEN_TOTALS, "prior_entries": "SELECT o_orderpriority AS slot, o_orderstatus AS variant, count(*) AS n FROM orders GROUP BY ALL", "analysable_share": ANALYSABLE_SHARE,
 }
