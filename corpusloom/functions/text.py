@@ -87,6 +87,8 @@ def normalise_sentence(s: Column, script: Script) -> Column:
 
 def tokens(s: Column, script: Script) -> Column:
     """T-06: runs of letters of the canonical text."""
+    if script is LATIN:  # nothing that is taken from edges is a letter, so that trimming whole texts would change no run
+        return F.regexp_extract_all(F.lower(strip_zero_width(s)), F.lit(f"[{script.letters}]+"), 0)
     return F.regexp_extract_all(canonical(s, script), F.lit(f"[{script.letters}]+"), 0)
 
 
