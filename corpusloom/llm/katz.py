@@ -12,7 +12,8 @@ each word a number; then its distinct bigrams (numbers, so that no two contexts
 send, answers each chunk with the counts it asked for and, where a chunk holds an n-gram that was never seen, with the sums that alpha of its
 context needs. Sums for documents are made in the chunk alone, in the order of the text. Contexts that many tokens follow (`heavy`, at most
 `MOST_HEAVY`) are divided among cells by the whole n-gram; their sums meet in a small table. Cells follow the bytes of the texts, so that each
-holds about `CELL_BYTES` worth of them.
+holds about `CELL_BYTES` worth of them. Each chunk sends to each cell, so that messages grow with the square of the table while bytes do not: cells
+are as large as memory allows, and a chunk works on what it is told by all cells at once.
 
 Edge cases: null texts are empty (their end is a token); without training texts every P is that of the unigram base; repeated rows, and rows
 of one doc_id, are scored each on its own; rows without doc_id are scored, but not learned from (held_out is null); very long texts are cut
@@ -38,7 +39,7 @@ ALWAYS = 0.05
 MODULUS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text that are read, and tokens that are evaluated, at a time; bytes of text for each cell of a table.
-CHUNK, TOKENS, CELL_BYTES = 4_000_000, 1_000_000, 2_500_000
+CHUNK, TOKENS, CELL_BYTES = 6_000_000, 1_000_000, 12_000_000
 #: A context that at least so many tokens follow is heavy, unless over MOST_HEAVY were.
 HEAVY_FROM, MOST_HEAVY = 100_000, 100_000
 #: Times that chunks go through the trigrams, each for a part of the cells, so that no more than a part is on its way at once.
@@ -98,6 +99,15 @@ def _joint(*numbers: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(answers: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The arrays of all cells' answers, a cell after the other."""
+    return [np.concatenate(x) for x in zip(*answers, strict=True)]
+
+
+def _places(asked: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([k for _, k in asked])
+
+
 # --- chunks -------------------------------------------------------------------------------------------------------
 
 
@@ -201,14 +211,16 @@ class _Chunk:
         """Takes the counts of the bigrams, and from them P(w | v)."""
         n = len(self.pair_first)
         self.pair_count, weight = np.zeros(n, dtype=np.int64), np.full(n, np.nan)
-        for (_, k), (counts, contexts, *stats, seen) in zip(self.bigrams_asked(), self.answers[PAIRS], strict=True):
-            self.pair_count[k] = counts
-            lack = k[counts == 0]
-            if len(lack) and len(contexts):
-                v = self.number[self.pair_first[lack]]
-                at = np.minimum(np.searchsorted(contexts, v), len(contexts) - 1)
-                ok = contexts[at] == v
-                weight[lack[ok]] = (_freed(stats, d2) / (1 - seen.astype(float) / self.mass))[at[ok]]
+        counts, contexts, stats, seen = _joined(self.answers[PAIRS])
+        k = _places(self.bigrams_asked())
+        self.pair_count[k] = counts
+        lack = k[counts == 0]
+        if len(lack) and len(contexts):
+            order = np.argsort(contexts)
+            v = self.number[self.pair_first[lack]]
+            at = order[np.minimum(np.searchsorted(contexts, v, sorter=order), len(contexts) - 1)]
+            ok = contexts[at] == v
+            weight[lack[ok]] = (_freed(stats.reshape(-1, _STATS).T, d2) / (1 - seen.astype(float) / self.mass))[at[ok]]
         v, w = self.pair_first, self.pair_last
         lack = np.flatnonzero((self.pair_count == 0) & (self.count[v] > 0))
         heavy = self.heavy["words"]
@@ -268,15 +280,16 @@ class _Chunk:
         n = len(self.triple_pair)
         counts, weight = np.zeros(n, dtype=np.int64), np.full(n, np.nan)
         u, v = self._context_words()
-        for (_, k), (found, cu, cv, *stats, mass) in zip(self.trigrams_asked(), self.answers[TRIPLES], strict=True):
-            counts[k] = found
-            lack = k[found == 0]
-            if len(lack) and len(cu):
-                keys = _joint(np.concatenate([cu, u[lack]]), np.concatenate([cv, v[lack]]))
-                order = np.argsort(keys[: len(cu)])
-                at = np.minimum(np.searchsorted(keys[: len(cu)][order], keys[len(cu) :]), len(cu) - 1)
-                ok = keys[: len(cu)][order][at] == keys[len(cu) :]
-                weight[lack[ok]] = (_freed(stats, d3) / np.maximum(1 - mass, 1e-300))[order[at[ok]]]
+        found, cu, cv, stats, mass = _joined(self.answers[TRIPLES])
+        k = _places(self.trigrams_asked())
+        counts[k] = found
+        lack = k[found == 0]
+        if len(lack) and len(cu):
+            keys = _joint(np.concatenate([cu, u[lack]]), np.concatenate([cv, v[lack]]))
+            order = np.argsort(keys[: len(cu)])
+            at = np.minimum(np.searchsorted(keys[: len(cu)][order], keys[len(cu) :]), len(cu) - 1)
+            ok = keys[: len(cu)][order][at] == keys[len(cu) :]
+            weight[lack[ok]] = (_freed(stats.reshape(-1, _STATS).T, d3) / np.maximum(1 - mass, 1e-300))[order[at[ok]]]
         lack = (counts == 0) & (self.heavy_context >= 0)
         weight[lack] = self.heavy["pair_weights"][self.heavy_context[lack]]
         p, total = self.pair_p[self.triple_pair], np.maximum(self.context_count, 1)
@@ -333,12 +346,13 @@ def _count_bigrams(cell: int, rows: list[tuple], heavy: dict[str, np.ndarray], h
     begin, stats, seen = _by_context(tv, count, own[first].astype(np.int64) + 1)
     divided = np.isin(tv[begin], heavy["words"])
     at = np.cumsum(np.r_[False, tv[1:] != tv[:-1]]) if len(tv) else tv
+    each = np.stack(stats, axis=1).astype(np.int32)
 
     def answer(s: slice) -> bytes:
         found = count[which[s]]
         lack = np.unique(at[which[s]][found == 0])
         lack = lack[~divided[lack]]
-        return pack(narrow(found), tv[begin[lack]], *(x[lack] for x in stats), seen[lack])
+        return pack(narrow(found), tv[begin[lack]], each[lack].ravel(), seen[lack])
 
     out = _told_to(rows, [len(p[0]) for p in parts], answer, cell, PAIRS)
     big = count >= heavy_from
@@ -358,12 +372,13 @@ def _count_trigrams(cell: int, rows: list[tuple], heavy: dict[str, np.ndarray],
     keys = _joint(np.concatenate([hu, tu]), np.concatenate([hv, tv]))
     divided = np.isin(keys[len(hu) :], keys[: len(hu)])
     at = np.cumsum(np.r_[False, tc[1:] != tc[:-1]]) if len(tc) else tc
+    each = np.stack(stats, axis=1).astype(np.int32)
 
     def answer(s: slice) -> bytes:
         found = count[which[s]]
         lack = np.unique(at[which[s]][found == 0])
         lack = lack[~divided[lack]]
-        return pack(narrow(found), tu[lack], tv[lack], *(x[lack] for x in stats), mass[lack])
+        return pack(narrow(found), tu[lack], tv[lack], each[lack].ravel(), mass[lack])
 
     out = _told_to(rows, [len(p[0]) for p in parts], answer, cell, TRIPLES)
     return [*out, (-1, cell, ALL, pack(_totals(count), tu[divided], tv[divided], *(x[divided].astype(np.int64) for x in stats), mass[divided]))]
@@ -436,13 +451,18 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % MODULUS != HELD_OUT
 
 
+def cells_of(size: int, parts: int) -> int:
+    """Cells of a table for so many bytes of text: one for each `CELL_BYTES`, or each partition where these are smaller."""
+    return max(1, -(-size // CELL_BYTES), min(parts, size // 1000))
+
+
 def _evaluated(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_tokens, n_known, train_tokens, base, score of pieces of texts."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(in_training(F.col("doc_id")), F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(1, -(-size // CELL_BYTES), min(parts, size // 1000))
+    cells = cells_of(size, parts)
     heavy_from = max(HEAVY_FROM, size // 2 // MOST_HEAVY)
     none = np.zeros(0, dtype=np.int64)
 

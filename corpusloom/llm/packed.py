@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,18 +10,26 @@ import numpy as np
 from corpusloom.llm.common import released
 
 
+_own = threading.local()
+
+
+def _zstd() -> tuple:
+    """This thread's compressor and decompressor: to make them takes longer than a small message."""
+    if not hasattr(_own, "both"):
+        import zstandard
+
+        _own.both = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return _own.both
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one binary. Integers of 4 and 8 bytes go by the weight of their bytes: the high bytes of small values compress to nothing."""
-    import zstandard
-
     head = np.array([len(arrays), *(v for a in arrays for v in (np.dtype(a.dtype).num, len(a)))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(_planes(a).tobytes() for a in arrays))
+    return _zstd()[0].compress(head.tobytes() + b"".join(_planes(a).tobytes() for a in arrays))
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(payload)
+    raw = _zstd()[1].decompress(payload)
     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
     head = np.frombuffer(raw, dtype=np.int64, count=1 + 2 * n)[1:]
     at, out = 8 * (1 + 2 * n), []

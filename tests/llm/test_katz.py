@@ -95,3 +95,9 @@ def test_discounts_leave_something_to_every_count():
     for n in ([0.0] * 6, [5.0, 0, 0, 0, 0, 0], [100.0, 40, 20, 12, 8, 6], [1.0, 9, 1, 1, 1, 50]):
         d = katz.discounts(n)
         assert len(d) == 5 and np.all(d > 0) and np.all(d * np.arange(1, 6) <= np.arange(1, 6) - katz.ALWAYS + 1e-12)
+
+
+def test_messages_stay_large_as_the_table_grows():
+    """Each chunk sends to each cell: at 6 GB of parquet (about 11 GB of text) a message is to hold several KB of the chunk's text."""
+    assert katz.CHUNK / katz.cells_of(11_000_000_000, 600) > 5_000
+    assert [katz.cells_of(n, 12) for n in (0, 999, 5_000, 1_000_000)] == [1, 1, 5, 12]
