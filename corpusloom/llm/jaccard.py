@@ -10,12 +10,12 @@ too many is none; the others are verified on the whole sets.
 
 Only what connects matters for component_id, so dense neighbourhoods aren't verified pair by pair: of an element that more than `SMALL` groups
 share, and of a large group, members are first verified against a few leaders; a round follows against the groups with the most links, and at
-last all candidate pairs that still lie in different components are verified. No link between components is lost, and pairs inside one are
-never listed. These rounds are joins on (element, stretch of sizes), whose larger side Spark may cut wherever it is skewed; the postings of
+last all that still lie in different components are compared by their sketches, in blocks, and verified. No link between components is lost, and
+pairs inside one are never listed. These rounds are joins on (element, stretch of sizes), whose larger side Spark may cut wherever it is skewed; the postings of
 frequent elements are salted, so that no task holds those of one element.
 
-Which elements count as frequent changes the order alone, never the result: a first pass counts shingles in each chunk of input and keeps
-the `FREQUENT` most frequent ones, a bounded table that is broadcast.
+Which elements count as frequent changes the order alone, never the result: a first pass counts the shingles that prefixes can begin with (and of
+others those that come up often in a chunk of input) and keeps the `FREQUENT` most frequent ones, a bounded table that is broadcast.
 
 Edge cases: null texts and texts without words have empty sets and link with nothing; texts shorter than a shingle are one shingle; very long
 texts are one set, held by one worker at a time; rows of one doc_id are one node, with the links of all their texts; rows without doc_id are
@@ -39,8 +39,9 @@ from corpusloom.llm.graph import components
 PERCENT = 90
 SHINGLE = 3
 FREQUENT = 200_000
-#: A frequent shingle is counted in chunks where at least so many documents have it, and is one from so many documents on.
-IN_CHUNK, FREQUENT_FROM = 3, 40
+#: A frequent shingle is one from so many documents on. Those of the least hashes, this many times a prefix's share of a set, are counted exactly;
+#: others in chunks where at least IN_CHUNK documents have them.
+IN_CHUNK, FREQUENT_FROM, COUNTED = 3, 33, 1.5
 #: Groups that share an element and are compared all with all, and parts that the postings of a frequent element are dealt to.
 SMALL, SALTS = 32, 64
 #: Leaders of a stretch of sizes in the first and in the second round; pairs that are made at a time; pairs that one set is compared in.
@@ -99,17 +100,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """At most FREQUENT hashes, sorted."""
+def frequent_shingles(docs: DataFrame, width: int, percent: int) -> np.ndarray:
+    """At most FREQUENT hashes, sorted. What prefixes begin with has small hashes, and is counted whole at every size of the table."""
+    below = np.uint64(min(2**64 - 1, int(2**64 * COUNTED * (100 - percent) / 100)))
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for (texts,) in text_chunks(batches, (), limit=4_000_000):
             part, n = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_sets([t or b"" for t in texts], width)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(part[n >= IN_CHUNK])), pa.array(n[n >= IN_CHUNK])], ["h", "n"])
+            n[(n < IN_CHUNK) & (part > below)] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(part[n > 0])), pa.array(n[n > 0].astype(np.int32))], ["h", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    counted = docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     return np.sort(counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -218,6 +221,10 @@ def _allows(percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")).cast("long")
 
 
+def _stretch(percent: int) -> Column:
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(min(percent, 99) / 100))).cast("int")
+
+
 def _sides(df: DataFrame, side: str, near: tuple[int, ...] = ()) -> DataFrame:
     """Columns with a side's mark; `near`: a row for each stretch of sizes that far from its own. All similar sizes are in (-1, 0, 1)."""
     if near:
@@ -238,15 +245,80 @@ def _with_leaders(dense: DataFrame, leaders: int, near: tuple[int, ...], apart:
     return found.where((F.col("x_group_id") != F.col("y_group_id")) & apart & _allows(percent)).select(*_pair("x_group_id", "y_group_id")).distinct()
 
 
-def _between(dense: DataFrame, apart: Column, percent: int) -> DataFrame:
-    """Pairs of groups that share a dense element and may lie in different components: all that is outside the element's largest component
-    with all that is not of its own."""
-    sizes = dense.where("mixed = 0").groupBy("element", "label").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("element").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    rows = dense.join(largest, "element", "left").withColumn("inside", (F.col("mixed") == 0) & F.coalesce(F.col("label") == F.col("main"), F.lit(False))).drop("main")
-    found = _sides(rows.where("not inside"), "x").join(_sides(rows, "y", (-1, 0, 1)), ["element", "stretch"])
-    once = F.col("y_inside") | (F.col("x_group_id") < F.col("y_group_id"))
-    return found.where(once & (F.col("x_group_id") != F.col("y_group_id")) & apart & _allows(percent)).select(*_pair("x_group_id", "y_group_id")).distinct()
+def _sketched(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, sketches as rows of words) for each length."""
+    size = np.array([len(x) for x in sketches])
+    found = [(np.flatnonzero(size == k), k) for k in np.unique(size).tolist()]
+    return [(at, np.frombuffer(b"".join(sketches[i] for i in at.tolist()), dtype=np.uint64).reshape(len(at), k // 8)) for at, k in found]
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits each of x differs from each of y, where the larger of two sketches is folded as in `possible`."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    of_x, of_y = _sketched(x), _sketched(y)
+    for at, a in of_x:
+        for to, b in of_y:
+            width = min(a.shape[1], b.shape[1])
+            left, right = _folded(a, width), _folded(b, width)
+            step = max(1, BLOCK * 4 // (len(left) * width))
+            for lo in range(0, len(right), step):
+                out[np.ix_(at, to[lo : lo + step])] = np.bitwise_count(left[:, None, :] ^ right[None, lo : lo + step, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def _across(dense: DataFrame, labelled: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes (a, b) that share a dense element or a group, lie in different components, and may be similar by sizes, places and
+    sketches: of each element, all that is outside its largest component with all that is not of its own. About `CHUNK` rows from outside are a
+    block, which one task holds while the element's other rows pass by, so that pairs that sketches turn down are compared, but never rows."""
+    own = labelled.where("members > 1").select(F.col("group_id").alias("element"), _stretch(percent).alias("stretch"), "class", "component", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+    rows = dense.join(labelled.select("group_id", "class", "component"), "group_id").select(*own.columns).unionByName(own)
+    rows = written(rows.join(sketches.select("class", "sketch"), "class"), "shingle-dense")
+    sizes = rows.groupBy("element", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("element").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    rows = rows.join(largest, "element").withColumn("inside", F.col("component") == F.col("main")).drop("main")
+    outside = rows.where("not inside").withColumn("stretch", F.explode(F.array(*(F.col("stretch") + k for k in (-1, 0, 1)))))
+    parts = outside.groupBy("element", "stretch").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    part = {"x": F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    names = ["element", "stretch", "part", "side", "class", "component", "n", "pos", "inside", "sketch"]
+    x, y = (df.join(parts, ["element", "stretch"]).withColumn("part", part[side]).withColumn("side", F.lit(int(side == "y"))).select(names) for side, df in (("x", outside), ("y", rows)))
+
+    def pairs(x: list, y: list):  # noqa: ANN202
+        import pyarrow as pa
+
+        (c, k, n, p), (d, m, o, q), inside = ([v[:, None] for v in x[:4]], [v[None, :] for v in y[:4]], y[4][None, :])
+        ok = (k != m) & (inside | (c < d)) & _fits(n, p, o, q, percent)
+        ok[ok] = (_apart(x[5], y[5]) * (100 + percent) <= (n + o) * (100 - percent))[ok] if ok.any() else False
+        i, j = np.nonzero(ok)
+        a, b = x[0][i], y[0][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def compare(batches: Iterator) -> Iterator:
+        key, block = None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1_000):
+                b = batch.slice(lo, 1_000)
+                keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])
+                values = [*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64 if i < 8 else bool) for i in range(4, 9)), b.column(9).to_pylist()]
+                cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    run = [v[s:e] for v in values]
+                    if (now := tuple(keys[:3, s].tolist())) != key:
+                        key, block = now, []
+                    if keys[3, s]:
+                        if block and (found := pairs(block, run)).num_rows:
+                            yield found
+                    else:  # a block may come in two batches
+                        block = [*(np.concatenate(v) for v in zip(block[:5], run[:5], strict=True)), block[5] + run[5]] if block else run
+        released()
+
+    return x.unionByName(y).repartition("element", "stretch", "part").sortWithinPartitions("element", "stretch", "part", "side").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _expanded(pairs: DataFrame, members: DataFrame, keep: Column) -> DataFrame:
@@ -334,8 +406,7 @@ def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: in
     heads = members.where((F.col("class") == F.col("group_id")) & (F.col("n") >= least)).select(F.col("rep").alias("doc_id"), "digest", "group_id")
     prefixes = full.select("doc_id", "digest", "n", "prefix").join(heads, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     first = written(_candidates(_postings(prefixes), percent), "shingle-candidates")
-    stretch = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(min(percent, 99) / 100))).cast("int")
-    dense = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").withColumn("stretch", stretch)
+    dense = first.where("kind = 1").select(F.col("a").alias("group_id"), F.col("b").alias("element"), "n", "pos").withColumn("stretch", _stretch(percent))
     members, sketches = members.drop("group", "digest", "rep"), classes.select("class", "n", "sketch")
 
     def linked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -356,17 +427,18 @@ def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: in
     parts = _parts(links)
     for leaders in (MORE_LEADERS, 0):  # between components alone: the groups with the most links, then all that is left
         labelled = members.join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").count()
-        whole = labelled.join(degree, "class", "left").groupBy("group_id").agg(F.min("component").alias("label"), (F.min("component") != F.max("component")).cast("int").alias("mixed"), F.coalesce(F.max("count"), F.lit(0)).alias("score"))
-        rows = dense.join(whole, "group_id")
-        apart = (F.col("x_label") != F.col("y_label")) | (F.col("x_mixed") > 0) | (F.col("y_mixed") > 0)
         keep = F.col("x_component") != F.col("y_component")
         if leaders:
-            open_ = _expanded(_with_leaders(rows, leaders, (-1, 0, 1), apart, percent), labelled.select("group_id", "class", "component"), lead & keep)
-        else:  # of large groups, pairs of the first round went by their leads alone
-            small = first.where("kind = 0").select("a", "b").unionByName(inside)
-            small = small.join(labelled.where(F.col("members") > 1).select(F.col("group_id").alias("g")).distinct(), (F.col("a") == F.col("g")) | (F.col("b") == F.col("g")), "left_semi") if members.where(F.col("members") > LARGE).limit(1).count() else inside
-            open_ = _expanded(_between(rows.drop("score"), apart, percent).unionByName(small).distinct(), labelled.select("group_id", "class", "component"), keep)
+            degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").count()
+            whole = labelled.join(degree, "class", "left").groupBy("group_id").agg(F.min("component").alias("label"), (F.min("component") != F.max("component")).cast("int").alias("mixed"), F.coalesce(F.max("count"), F.lit(0)).alias("score"))
+            apart = (F.col("x_label") != F.col("y_label")) | (F.col("x_mixed") > 0) | (F.col("y_mixed") > 0)
+            open_ = _expanded(_with_leaders(dense.join(whole, "group_id"), leaders, (-1, 0, 1), apart, percent), labelled.select("group_id", "class", "component"), lead & keep)
+        else:
+            open_ = _across(dense, labelled, sketches, percent)
+            if members.where(F.col("members") > LARGE).limit(1).count():  # of large groups, pairs of the first round went by their leads alone
+                many = labelled.where("members > 1").select(F.col("group_id").alias("g")).distinct()
+                small = first.where("kind = 0").select("a", "b").join(many, (F.col("a") == F.col("g")) | (F.col("b") == F.col("g")), "left_semi").distinct()
+                open_ = open_.unionByName(_expanded(small, labelled.select("group_id", "class", "component"), keep)).distinct()
         found, fresh = linked(open_, tried)
         if fresh.limit(1).count():
             tried, links = tried.unionByName(found), links.unionByName(fresh)
@@ -381,7 +453,7 @@ def _parts(links: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(signatures(docs, frequent_shingles(docs, width), width, percent), "shingle-signatures")
+    signed = written(signatures(docs, frequent_shingles(docs, width, percent), width, percent), "shingle-signatures")
     own = signed.where("n > 0 and doc_id is not null").select("doc_id", "digest")
     twice = written(own.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("doc_id"), "shingle-twice", 1)
 
@@ -415,7 +487,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(id_.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     keys = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().cast("long").alias("without"), "text_hash", "text")
     width, percent = 5, 80
-    signed = written(signatures(keys, frequent_shingles(keys, width), width, percent, ("id_", "without", "text_hash")), "shingle-signatures")
+    signed = written(signatures(keys, frequent_shingles(keys, width, percent), width, percent, ("id_", "without", "text_hash")), "shingle-signatures")
     # class_components finds one document of a class by doc_id (and set): rows without one are found by the hash of their text
     found_by = signed.withColumn("doc_id", F.when(F.col("without") > 0, F.col("text_hash")).otherwise(F.col("id_")))
     by_text = written(class_components(rows.select(F.coalesce("doc_id", "text_hash").alias("doc_id"), "text"), found_by, width, percent).select("digest", "component"), "shingle-components")

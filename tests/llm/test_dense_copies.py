@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import jaccard
@@ -67,3 +68,12 @@ def test_rows_of_one_id_are_one_node(spark):
     got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got if r.component_id) == [(1, 1), (4, 4), (5, 1), (5, 1), (9, 1), (9, 1)]
     assert jaccard.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shingles_are_counted_across_chunks(spark):
+    """Each text is a chunk of its own: what 40 of them share is frequent all the same, where prefixes can begin with it."""
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"{base} x{i}") for i in range(40)], "doc_id long, text string").repartition(40, "doc_id")
+    (shared,) = jaccard.shingle_sets([base.encode()], 3)
+    low = shared[shared < np.uint64(2**64 // 10)]
+    assert len(low) > 5 and np.isin(low, jaccard.frequent_shingles(docs, 3, 90)).all()
