@@ -77,3 +77,17 @@ def test_shingles_are_counted_across_chunks(spark):
     (shared,) = jaccard.shingle_sets([base.encode()], 3)
     low = shared[shared < np.uint64(2**64 // 10)]
     assert len(low) > 5 and np.isin(low, jaccard.frequent_shingles(docs, 3, 90)).all()
+
+
+def test_pairs_that_sketches_turn_down_are_no_rows(spark):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (60, 66, 70, 100, 130, 140) for _ in range(10)]
+    sets.append(sets[3][1:])
+    s, n = [jaccard.sketch(x) for x in sets], np.array([len(x) for x in sets])
+    near = jaccard._apart(s, s) * 190 <= (n[:, None] + n[None, :]) * 10
+    assert near.tolist() == [[jaccard.possible(a, len(x), b, len(y), 90) for b, y in zip(s, sets, strict=True)] for a, x in zip(s, sets, strict=True)]
+    rows = [(k, 7, len(x), 0) for k, x in enumerate(sets)]
+    dense = spark.createDataFrame(rows, "group_id long, element long, n int, pos int").withColumn("stretch", jaccard._stretch(90))
+    labelled = spark.createDataFrame([(k, len(x), k, 1, k) for k, x in enumerate(sets)], "class long, n long, group_id long, members long, component long")
+    sketches = spark.createDataFrame([(k, len(x), bytearray(y)) for k, (x, y) in enumerate(zip(sets, s, strict=True))], "class long, n long, sketch binary")
+    assert [tuple(x) for x in jaccard._across(dense, labelled, sketches, 90).collect()] == [(3, 60)]
