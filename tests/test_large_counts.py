@@ -1,11 +1,13 @@
 """Counts and tables of a size that sf0.001 has not."""
 
+import datetime as dt
 from fractions import Fraction
 from math import comb
 
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
+from corpusloom.plans import studies
 
 
 def tail(k, n, p=Fraction(1, 4)):
@@ -16,3 +18,17 @@ def test_binomial_tails_of_many_trials(spark):
     cases = [(0, 0), (0, 7), (3, 7), (7, 7), (300, 1_500), (400, 1_500), (1_500, 1_500)]
     got = spark.createDataFrame(cases, "k long, n long").select("k", "n", S.binomial_sf(F.col("k"), F.col("n"), F.lit(0.25)).alias("p")).collect()
     assert len(got) == len(cases) and all(abs(r.p - tail(r.k, r.n)) <= 1e-11 * tail(r.k, r.n) for r in got)
+
+
+def events(spark, folder, rows):
+    """Rows (user, day, hour, type, k)."""
+    made = [(i, dt.datetime(2024, 1, day, hour), user, kind, 1.0, f'{{"k": {k}}}') for i, (user, day, hour, kind, k) in enumerate(rows)]
+    spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+
+
+def test_falsification_of_many_pairs(spark, tmp_path):
+    right = {1: range(800), 2: range(740, 1_500), 4: range(1_200), 3: range(700)}  # day: the items that are right in its condition
+    events(spark, tmp_path, [(13 * i, day, 0, "click" if i in those else "view", 5) for day, those in right.items() for i in range(1_500)])
+    r = studies.falsification(spark, str(tmp_path)).first()
+    half = Fraction(1, 2)
+    assert (r.b, r.c, r.p_mcnemar, r.p_chance, r.c0_ok) == (740, 700, round(2 * tail(740, 1_440, half), 6), round(tail(760, 1_500, half), 6), True)
