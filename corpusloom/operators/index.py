@@ -92,11 +92,26 @@ def kwic(sentence_tokens: DataFrame, form: str, window: int = 8) -> DataFrame:
     return hit.withColumn("left", F.array_join(left, " ")).withColumn("right", F.array_join(F.slice("tokens", F.col("_at") + 1, window), " ")).drop("_at", "tokens")
 
 
+def _range_parts(df: DataFrame, order: str, least_keys: int = 64) -> Column:
+    """The part of the order's range that a row is in, as a function of its value alone; nulls are in the last. Cuts are taken once, off keys of least hash."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(least_keys * n)
+    keys = [r[0] for r in some.orderBy(order).collect()]
+    cuts = [keys[i] for i in sorted({len(keys) * k // n for k in range(1, n)})] if keys else []
+
+    def at(low: int, high: int) -> Column:
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col(order) < F.lit(cuts[mid]), at(low, mid)).otherwise(at(mid + 1, high))
+
+    return at(0, len(cuts))
+
+
 def systematic_sample(df: DataFrame, order: str, every: int) -> DataFrame:
-    """W-04: every k-th row. Ranks are counted in parts of the order's hash-free range: one exchange by range, offsets from part counts."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    """W-04: every k-th row, nulls last. Rows are ranked within parts of the order's range, and offsets are the parts' counts: both read the rows, so
+    parts must not depend on how a reading is dealt out."""
+    parts = df.withColumn("_part", _range_parts(df, order))
     sizes = parts.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(F.broadcast(sizes), "_part")
+    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last(order)))).join(F.broadcast(sizes), "_part")
     return ranked.where((F.col("_before") + F.col("_r") - 1) % every == 0).drop("_part", "_r", "count", "_before")
 
 

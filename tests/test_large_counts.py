@@ -7,6 +7,7 @@ from math import comb
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
+from corpusloom.operators import index as I
 from corpusloom.plans import studies
 
 
@@ -32,3 +33,23 @@ def test_falsification_of_many_pairs(spark, tmp_path):
     r = studies.falsification(spark, str(tmp_path)).first()
     half = Fraction(1, 2)
     assert (r.b, r.c, r.p_mcnemar, r.p_chance, r.c0_ok) == (740, 700, round(2 * tail(740, 1_440, half), 6), round(tail(760, 1_500, half), 6), True)
+
+
+def test_every_kth_row_where_one_reading_has_less_to_shuffle(spark):
+    """Parts that are merged by their bytes differ between the rows and their keys alone."""
+    rows = 20_000
+    df = spark.range(rows).repartition(7).select("id", F.concat(*(F.sha2(F.concat("id", F.lit(i)), 256) for i in range(6))).alias("text"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    try:
+        for k, v in zip(before, ("16", "512k", "false"), strict=True):
+            spark.conf.set(k, v)
+        assert sorted(r.id for r in I.systematic_sample(df, "id", 7).collect()) == list(range(0, rows, 7))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_every_kth_row_of_keys_with_nulls_and_of_texts(spark):
+    df = spark.createDataFrame([(None,)] * 3 + [(f"k{i:03}",) for i in range(40)], "key string").repartition(3)
+    got = [r.key for r in I.systematic_sample(df, "key", 6).collect()]
+    assert sorted(k for k in got if k) == [f"k{i:03}" for i in range(0, 40, 6)] and got.count(None) == 1
