@@ -22,8 +22,8 @@ def test_binomial_tails_of_many_trials(spark):
 
 
 def events(spark, folder, rows):
-    """Rows (user, day, hour, type, k)."""
-    made = [(i, dt.datetime(2024, 1, day, hour), user, kind, 1.0, f'{{"k": {k}}}') for i, (user, day, hour, kind, k) in enumerate(rows)]
+    """Rows (user, day, hour, type, k), and the value if it isn't 1."""
+    made = [(i, dt.datetime(2024, 1, day, hour), user, kind, *(value or [1.0]), f'{{"k": {k}}}') for i, (user, day, hour, kind, k, *value) in enumerate(rows)]
     spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
 
 
@@ -35,6 +35,18 @@ def test_falsification_of_many_pairs(spark, tmp_path):
     assert (r.b, r.c, r.p_mcnemar, r.p_chance, r.c0_ok) == (740, 700, round(2 * tail(740, 1_440, half), 6), round(tail(760, 1_500, half), 6), True)
 
 
+def test_falsification_of_slots_with_suppression_and_prompts(spark, tmp_path):
+    """Slot 0 has an active default; slot 1 has too few records; in slot 2 a second prompt (value 3) gets all of C1 wrong and all of C0 right."""
+    right = {1: 1.0, 2: 0.5, 4: 1.0, 3: 0.0}  # day: the share that is right in its condition
+    rows = [(13 * i, day, 0, "click" if i < share * n else "view", k) for k, n in ((5, 60), (6, 10), (7, 60)) for day, share in right.items() for i in range(n)]
+    rows += [(13 * i, day, 0, kind, 7, 3.0) for day, kind in ((1, "view"), (4, "click")) for i in range(60)]
+    events(spark, tmp_path, rows)
+    got = {r.slot: (r.b, r.c, r.tv, r.suppressed, r.prompt_robustness_ok, r.c0_ok, r.c0_ok_explicit, r.default_is_active, r.default_is_active_with_corrected_c0) for r in studies.falsification(spark, str(tmp_path)).collect()}
+    assert got == {
+        "slot0": (30, 0, 0.0, None, None, True, None, True, False), "slot1": (5, 0, 0.0, "C1 too_few; C2 too_few", None, True, None, False, False), "slot2": (30, 0, 0.0, None, False, True, True, False, False),
+    }
+
+
 def test_every_kth_row_where_one_reading_has_less_to_shuffle(spark):
     """Parts that are merged by their bytes differ between the rows and their keys alone."""
     rows = 20_000
