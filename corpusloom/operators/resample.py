@@ -21,6 +21,12 @@ def hash_bootstrap(successes: DataFrame, totals: DataFrame, draws: int = 200) ->
     return by.groupBy("corpus").agg(F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.percentile("p", 0.025), 6).alias("low"), F.round(F.percentile("p", 0.975), 6).alias("high"))
 
 
+def _pieces(draws: int, clusters: int, cells: int = 2_000_000) -> list[int]:
+    """Numbers of draws that are made at once: a generator gives the same numbers in pieces as in one matrix, which would grow with draws x clusters."""
+    size = max(1, cells // max(1, clusters))
+    return [min(size, draws - low) for low in range(0, draws, size)]
+
+
 def bootstrap_matrix(counts: np.ndarray, n_boot: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """U-01: p, low, high and design effect of each column's share, clusters being rows. Multinomial weights up to 2,000 rows, Poisson(1) beyond."""
     counts = counts[counts.sum(axis=1) > 0].astype(np.float32)
@@ -55,6 +61,18 @@ def numpy_bootstrap(values: DataFrame, n_boot: int = 1000, seed: int = 20260807)
     return values.groupBy("corpus").applyInPandas(run, schema)
 
 
+def cluster_mean(s: np.ndarray, n: np.ndarray, n_boot: int, seed: int) -> tuple[float, float, float]:
+    """U-02: mean, low and high from clusters' sums and numbers of values, by draws of cluster indexes."""
+    mean = s.sum() / n.sum() if n.sum() else float("nan")
+    if len(s) < 2 or not n.sum():
+        return mean, mean, mean
+    rng, draws = np.random.default_rng(seed), []
+    for size in _pieces(n_boot, len(s)):
+        at = rng.integers(0, len(s), (size, len(s)))
+        draws.append(s[at].sum(axis=1) / np.maximum(n[at].sum(axis=1), 1))
+    return mean, *np.quantile(np.concatenate(draws), [0.025, 0.975])
+
+
 def mean_interval(df: DataFrame, keys: list[str], cluster: str, value: str, n_boot: int = 2000, seed: int = 1) -> DataFrame:
     """U-02: mean with a cluster bootstrap's interval; (mean, mean) for one cluster."""
     sums = df.groupBy(*keys, cluster).agg(F.sum(value).cast("double").alias("_s"), F.count(value).alias("_n"))
@@ -64,12 +82,7 @@ def mean_interval(df: DataFrame, keys: list[str], cluster: str, value: str, n_bo
         import pandas as pd
 
         s, n = pdf.sort_values(cluster)[["_s", "_n"]].to_numpy().T
-        mean = s.sum() / n.sum() if n.sum() else float("nan")
-        low = high = mean
-        if len(s) > 1 and n.sum():
-            at = np.random.default_rng(seed).integers(0, len(s), (n_boot, len(s)))
-            low, high = np.quantile(s[at].sum(axis=1) / np.maximum(n[at].sum(axis=1), 1), [0.025, 0.975])
-        return pd.DataFrame([[*key, mean, low, high]], columns=[*keys, "mean", "low", "high"])
+        return pd.DataFrame([[*key, *cluster_mean(s, n, n_boot, seed)]], columns=[*keys, "mean", "low", "high"])
 
     return sums.groupBy(*keys).applyInPandas(run, schema)
 

@@ -1,13 +1,16 @@
 """Counts and tables of a size that sf0.001 has not."""
 
 import datetime as dt
+import tracemalloc
 from fractions import Fraction
 from math import comb
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
 from corpusloom.operators import index as I
+from corpusloom.operators import resample as R
 from corpusloom.plans import studies
 
 
@@ -65,3 +68,19 @@ def test_every_kth_row_of_keys_with_nulls_and_of_texts(spark):
     df = spark.createDataFrame([(None,)] * 3 + [(f"k{i:03}",) for i in range(40)], "key string").repartition(3)
     got = [r.key for r in I.systematic_sample(df, "key", 6).collect()]
     assert sorted(k for k in got if k) == [f"k{i:03}" for i in range(0, 40, 6)] and got.count(None) == 1
+
+
+def with_peak(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_draws_of_cluster_means_do_not_stand_in_memory_at_once(spark):
+    n, draws = 40_000, 200
+    s = np.random.default_rng(3).normal(size=n)
+    got, peak = with_peak(lambda: R.cluster_mean(s, np.ones(n), draws, 1))
+    whole = s[np.random.default_rng(1).integers(0, n, (draws, n))].mean(axis=1)
+    assert np.allclose(got, [s.mean(), *np.quantile(whole, [0.025, 0.975])], rtol=1e-9, atol=0) and peak < 64
