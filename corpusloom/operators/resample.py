@@ -37,8 +37,7 @@ def bootstrap_matrix(counts: np.ndarray, n_boot: int, seed: int) -> tuple[np.nda
     total = counts.sum()
     p = counts.sum(axis=0) / total
     draws = []
-    for lo in range(0, n_boot, 500):
-        size = min(500, n_boot - lo)
+    for size in _pieces(n_boot, len(counts)):
         w = rng.multinomial(len(counts), np.full(len(counts), 1 / len(counts)), size) if len(counts) <= 2000 else rng.poisson(1, (size, len(counts)))
         sums = w.astype(np.float32) @ counts
         draws.append(sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9))

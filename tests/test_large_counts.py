@@ -84,3 +84,12 @@ def test_draws_of_cluster_means_do_not_stand_in_memory_at_once(spark):
     got, peak = with_peak(lambda: R.cluster_mean(s, np.ones(n), draws, 1))
     whole = s[np.random.default_rng(1).integers(0, n, (draws, n))].mean(axis=1)
     assert np.allclose(got, [s.mean(), *np.quantile(whole, [0.025, 0.975])], rtol=1e-9, atol=0) and peak < 64
+
+
+def test_draws_of_a_count_matrix_do_not_stand_in_memory_at_once():
+    n, draws = 40_000, 300
+    counts = np.random.default_rng(3).integers(1, 5, (n, 2))
+    (p, low, high, _), peak = with_peak(lambda: R.bootstrap_matrix(counts, draws, 1))
+    sums = (np.random.default_rng(1).poisson(1, (draws, n)) @ counts)[:, 0]
+    share = sums / (np.random.default_rng(1).poisson(1, (draws, n)) @ counts).sum(axis=1)
+    assert np.allclose([low[0], high[0]], np.quantile(share, [0.025, 0.975]), rtol=1e-5) and peak < 64
