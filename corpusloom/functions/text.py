@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,10 +102,74 @@ def sentences(s: Column) -> Column:
     return F.filter(F.transform(cut, bare), lambda x: x != "")
 
 
+@lru_cache
+def _classes(letters: str):  # type: ignore[no-untyped-def]
+    """For each code point: 1 for the script's letters, 2 for white space, 4 for zero width."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    out = np.zeros(0x110000, np.uint8)
+    out[points] = pc.match_substring_regex(pa.array(map(chr, points), pa.string()), f"^[{letters}]$").to_numpy(zero_copy_only=False)
+    for bit, some in ((2, " \t\n\u000b\f\r"), (4, "\u200b\u200c\u200d\ufeff\u00ad")):
+        out[[ord(c) for c in some]] |= bit
+    return out
+
+
+def text_slices(texts, most: int = 8_000_000):  # type: ignore[no-untyped-def]
+    """Places (low, high) of an Arrow array of texts that hold up to `most` bytes, or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + most, "right")))
+        yield low, high
+        low = high
+
+
+def script_counts(s: Column, script: Script) -> Column:
+    """T-09, T-11: (letters, bare, shown): code points that are letters of the script, neither white space nor zero width, and not white space."""
+    letters = script.letters
+
+    @F.arrow_udf("struct<letters: bigint, bare: bigint, shown: bigint>")
+    def counts(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        parts = []
+        for low, high in text_slices(texts):
+            some = texts.slice(low, high - low).to_pylist()
+            points = np.frombuffer("".join(x or "" for x in some).encode("utf-32-le", "surrogatepass"), np.uint32)
+            length = np.array([len(x or "") for x in some])
+            kind, full = _classes(letters)[points], length > 0
+            start = (np.cumsum(length) - length)[full]
+            sums = np.zeros((3, len(some)), np.int64)
+            if len(start):
+                for k, bits in enumerate((1, 2, 4)):
+                    sums[k, full] = np.add.reduceat(kind & bits != 0, start, dtype=np.int64)
+            parts.append(np.stack([sums[0], length - sums[1] - sums[2], length - sums[1]]))
+        made = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+        return pa.StructArray.from_arrays([pa.array(x, mask=texts.is_null().to_numpy(zero_copy_only=False)) for x in made], ["letters", "bare", "shown"])
+
+    return counts(s)
+
+
+def _share(part: Column, of: Column) -> Column:
+    return F.when(of == 0, 0.0).otherwise(part / of)
+
+
 def script_ratio(s: Column, script: Script) -> Column:
     """T-09: the script's share of what isn't white space or zero width; 0 for nothing."""
-    bare = F.regexp_replace(s, r"[\s​-‍﻿­]", "")
-    return F.when(F.length(bare) == 0, 0.0).otherwise(F.length(F.regexp_replace(bare, f"[^{script.letters}]", "")) / F.length(bare))
+    n = script_counts(s, script)
+    return _share(n["letters"], n["bare"])
+
+
+def script_measures(s: Column, script: Script, least: float = 0.8) -> list[Column]:
+    """T-09, T-11, T-10 of whole texts, counted once: ratio, share and in_script."""
+    n = script_counts(s, script)
+    ratio = _share(n["letters"], n["bare"])
+    return [ratio.alias("ratio"), _share(n["letters"], n["shown"]).alias("share"), (ratio >= least).alias("in_script")]
 
 
 def script_share(s: Column, script: Script) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats as S
+from corpusloom.functions import text as X
 from corpusloom.operators import index as I
 from corpusloom.operators import resample as R
 from corpusloom.plans import studies
@@ -93,3 +94,12 @@ def test_draws_of_a_count_matrix_do_not_stand_in_memory_at_once():
     sums = (np.random.default_rng(1).poisson(1, (draws, n)) @ counts)[:, 0]
     share = sums / (np.random.default_rng(1).poisson(1, (draws, n)) @ counts).sum(axis=1)
     assert np.allclose([low[0], high[0]], np.quantile(share, [0.025, 0.975]), rtol=1e-5) and peak < 64
+
+
+def test_script_ratios_of_odd_texts_are_counted_once(spark):
+    texts = ["", None, " \t\n", "ab c1", "a\u200bé\u00ad!", "\U0001d44e🙂\ufeff", "x" * 9_000_000, "நீ a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = {r.i: (r.ratio, r.share, r.in_script) for r in df.select("i", *X.script_measures(F.col("text"), X.LATIN)).collect()}
+    assert got == {0: (0.0, 0.0, False), 1: (None, None, None), 2: (0.0, 0.0, False), 3: (0.75, 0.75, False), 4: (2 / 3, 2 / 5, False), 5: (0.5, 1 / 3, False), 6: (1.0, 1.0, True), 7: (2 / 3, 2 / 3, False)}
+    plan = df.select(*X.script_measures(F.col("text"), X.LATIN))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
