@@ -62,6 +62,48 @@ def form_types(doc_forms: DataFrame) -> DataFrame:
     return doc_forms.groupBy("corpus", "form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
+def counted_forms(docs: DataFrame, script: X.Script) -> DataFrame:
+    """A-01 off texts (corpus, doc_id, text), exact: corpus, form, n, df, as form_types of document_forms. Workers count each slice of texts by corpus,
+    so that what is shuffled are forms, not each document's forms. Rows that share a doc_id are one document: theirs alone are counted by doc_id."""
+    again = docs.groupBy("corpus", "doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("corpus").alias("_c"), F.col("doc_id").alias("_d"))
+    marked = docs.join(F.broadcast(again.withColumn("_again", F.lit(True))), F.col("corpus").eqNullSafe(F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    plain = F.lower(F.col("text")) if script.fold_case else X.canonical(F.col("text"), script)
+    rows = marked.select("corpus", "doc_id", F.coalesce("_again", F.lit(False)).alias("_again"), plain.alias("text"))
+    types = {f.name: f.dataType.simpleString() for f in docs.select("corpus", "doc_id").schema}
+    pattern = f"[^{script.letters}]+"
+
+    def count(batches):  # type: ignore[no-untyped-def]
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for low, high in X.text_slices(batch.column("text")):
+                part = batch.slice(low, high - low)
+                words = pc.split_pattern_regex(pc.replace_substring_regex(part.column("text"), f"[{X.ZERO_WIDTH}]", ""), pattern)
+                flat, row = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy()
+                coded = flat.dictionary_encode()
+                form, size = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+                full = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[form] if len(form) else np.zeros(0, bool)
+                which, pairs = pd.factorize(row[full] * size + form[full])
+                each = np.bincount(which, minlength=len(pairs))
+                one = part.column("_again").to_numpy(zero_copy_only=False)
+                group = np.where(one, np.arange(len(part)), pd.factorize(part.column("corpus").to_pandas(), use_na_sentinel=False)[0] + len(part))
+                _, first, place = np.unique(group, return_index=True, return_inverse=True)
+                at, keys = pd.factorize(place[pairs // size] * size + pairs % size)
+                of = pa.array(first[keys // size])
+                single = part.column("_again").take(of)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("corpus").take(of), pc.if_else(single, part.column("doc_id").take(of), pa.scalar(None, part.column("doc_id").type)), single, coded.dictionary.take(pa.array(keys % size)),
+                    pa.array(np.bincount(at, each, len(keys)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64)),
+                ], ["corpus", "doc_id", "_again", "form", "n", "df"])
+
+    made = rows.mapInArrow(count, f"corpus {types['corpus']}, doc_id {types['doc_id']}, _again boolean, form string, n bigint, df bigint")
+    by = made.groupBy("corpus", "form", "_again", "doc_id").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return by.groupBy("corpus", "form").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_again"), 1).otherwise(F.col("df"))).alias("df"))
+
+
 def postings(sentence_tokens: DataFrame, cap: int = 200) -> DataFrame:
     """W-03: the first `cap` sentence ids of each form; truncated where the cap is reached."""
     s = sentence_tokens.select("corpus", "sid", F.explode(F.array_distinct("tokens")).alias("form"))

@@ -103,3 +103,12 @@ def test_script_ratios_of_odd_texts_are_counted_once(spark):
     assert got == {0: (0.0, 0.0, False), 1: (None, None, None), 2: (0.0, 0.0, False), 3: (0.75, 0.75, False), 4: (2 / 3, 2 / 5, False), 5: (0.5, 1 / 3, False), 6: (1.0, 1.0, True), 7: (2 / 3, 2 / 3, False)}
     plan = df.select(*X.script_measures(F.col("text"), X.LATIN))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+def test_forms_are_counted_off_texts_as_by_documents(spark):
+    rows = [("a", 1, "The cat, the\u200b dog"), ("a", 1, "THE end"), ("a", 2, "l'été 9x the"), ("b", 1, "the the"), ("b", None, "the"), ("b", None, "the cat"), (None, 3, "dog"), (None, 4, "dog dog"), ("c", 5, None), ("c", 6, ""), ("c", 7, " ... ")]
+    docs = spark.createDataFrame(rows, "corpus string, doc_id long, text string").repartition(3)
+    got = I.counted_forms(docs, X.LATIN)
+    want = I.form_types(I.document_forms(docs.select("corpus", "doc_id", X.tokens(F.col("text"), X.LATIN).alias("tokens"))))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.corpus: (r.n, r.df) for r in got.where("form = 'the'").collect()} == {"a": (4, 2), "b": (4, 2)}
