@@ -31,6 +31,16 @@ def events(spark, folder, rows):
     spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
 
 
+def test_two_sided_tails_of_many_trials(spark):
+    """Before, whole numbers of n bits were summed n / 2 times. P(X = n / 2) is known to six places by Stirling."""
+    n = 4_000_000
+    cases = [(n // 2, n), (n // 2 - 1, n), (3, 7), (700, 1_440)]
+    got = {(r.k, r.n): r.p for r in spark.createDataFrame(cases, "k long, n long").select("k", "n", S.binomial_two_sided(F.col("k"), F.col("n")).alias("p")).collect()}
+    middle = (2 / (np.pi * n)) ** 0.5 * (1 - 1 / (4 * n))
+    assert got[n // 2, n] == 1.0 and abs(got[n // 2 - 1, n] - (1 - middle)) < 1e-9
+    assert all(abs(got[c] - 2 * tail(c[1] - c[0], c[1], Fraction(1, 2))) < 1e-12 for c in cases[2:])
+
+
 def test_falsification_of_many_pairs(spark, tmp_path):
     right = {1: range(800), 2: range(740, 1_500), 4: range(1_200), 3: range(700)}  # day: the items that are right in its condition
     events(spark, tmp_path, [(13 * i, day, 0, "click" if i in those else "view", 5) for day, those in right.items() for i in range(1_500)])
